@@ -8,8 +8,6 @@ its own copy of the (bounded) arrays, so a hot parent never ends up in one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,32 +47,24 @@ def reference_states(children: DataFrame, key: str, field: str) -> DataFrame:
     return state.where(F.col("ref").isNotNull())
 
 
-def _probe(key: tuple, refs: Iterator[pa.RecordBatch], parents: Iterator[pa.RecordBatch]):
-    tables = [t for t in parents if t.num_rows]
-    schema = pa.schema([("record_id", pa.string()), ("created_at", pa.timestamp("us", "UTC")), ("cause", pa.string())])
-    keys, first, gone = np.array([], "S1"), np.array([], "i8"), np.array([], bool)
-    if tables:
-        row = tables[0]
-        keys = np.array([k.encode() for k in row.column("keys")[0].as_py()])
-        first = np.array(row.column("firsts")[0].as_py(), "i8")
-        gone = np.array(row.column("gones")[0].as_py(), bool)
-    for batch in refs:
-        if not batch.num_rows:
-            continue
-        wanted = np.array([k.encode() for k in batch.column("ref").to_pylist()])
-        born = batch.column("first_us").to_numpy(zero_copy_only=False)
-        cause = np.full(len(wanted), "missing", object)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = keys[at] == wanted
-            cause[hit] = np.where(gone[at[hit]], "deleted", np.where(first[at[hit]] > born[hit], "late", ""))
-        bad = np.flatnonzero(cause != "")
-        yield pa.record_batch(
-            [batch.column("record_id").take(pa.array(bad)).cast(pa.string()),
-             batch.column("created_at").take(pa.array(bad)).cast(pa.timestamp("us", "UTC")),
-             pa.array(cause[bad].tolist(), pa.string())],
-            schema=schema,
-        )
+def _probe(refs: pa.Table, parents: pa.Table) -> pa.Table:
+    wanted = np.array([k.encode() for k in refs.column("ref").to_pylist()], dtype=bytes)
+    cause = np.full(len(wanted), "missing", object)
+    if parents.num_rows and len(wanted) and (row := parents.slice(0, 1).to_pylist()[0])["keys"]:
+        keys = np.array([k.encode() for k in row["keys"]], dtype=bytes)
+        first, gone = np.array(row["firsts"], "i8"), np.array(row["gones"], bool)
+        born = refs.column("first_us").to_numpy()
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        cause[hit] = np.where(gone[at[hit]], "deleted", np.where(first[at[hit]] > born[hit], "late", ""))
+    bad = pa.array(np.flatnonzero(cause != ""))
+    return pa.table(
+        {
+            "record_id": refs.column("record_id").take(bad),
+            "created_at": refs.column("created_at").take(bad),
+            "cause": pa.array(cause[bad.to_numpy()].tolist(), pa.string()),
+        }
+    )
 
 
 def orphan_references(references: DataFrame, parents: DataFrame, n_parents: int) -> DataFrame:
@@ -97,10 +87,12 @@ def orphan_references(references: DataFrame, parents: DataFrame, n_parents: int)
     # how many tasks share a range: counted over all references with map-side combination
     shares = refs.groupBy("r").agg(F.ceil(F.count("*") / F.lit(PROBE_ROWS)).cast("int").alias("n"))
     salted = refs.join(shares, "r").withColumn("s", F.pmod(F.xxhash64("record_id"), F.col("n")).cast("int")).drop("n")
-    copies = shares.join(arrays, "r", "left").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    copies = shares.join(arrays, "r", "left").select(
+        F.col("r").alias("to_r"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("to_s"), "keys", "firsts", "gones"
+    )
     return (
         salted.groupBy("r", "s")
-        .cogroup(copies.groupBy("r", "s"))
+        .cogroup(copies.groupBy("to_r", "to_s"))
         .applyInArrow(_probe, _OUT)
     )
 
