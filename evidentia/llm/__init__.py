@@ -1,3 +1,5 @@
 """Operators for training data; nothing else in the library imports this subpackage."""
 
-MODULES: list = []
+from evidentia.llm import groups, oversized, packing, tokens
+
+MODULES = [groups, oversized, tokens, packing]
