@@ -1,5 +1,5 @@
 """Operators for training data; nothing else in the library imports this subpackage."""
 
-from evidentia.llm import groups, lookalikes, oversized, packing, reading, tokens
+from evidentia.llm import groups, lookalikes, names, oversized, packing, reading, tokens
 
-MODULES = [groups, oversized, lookalikes, tokens, packing, reading]
+MODULES = [groups, names, oversized, lookalikes, tokens, packing, reading]
