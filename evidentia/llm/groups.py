@@ -19,6 +19,8 @@ from evidentia.sources.tables import current, load
 
 #: Levels of the search after which the visited vertices are written together.
 _COMPACT = 8
+#: Vertices of two levels that may be broadcast (some 40 bytes each).
+_SMALL = 250_000
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -28,16 +30,19 @@ def _undirected(edges: DataFrame) -> DataFrame:
 
 def _reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     """All vertices reachable from ``start`` (one column ``node``). A neighbour of level k lies in
-    level k-1, k or k+1, so a new frontier is anti-joined with the last two levels only."""
-    before, front = start.limit(0), start
+    level k-1, k or k+1, so a new frontier is anti-joined with the last two levels only. Frontiers
+    are counted; those within ``_SMALL`` are broadcast, larger ones are shuffled."""
+    before, front, size, last = start.limit(0), start, 1, 1
     done, open_levels = [], [front]
     while True:
         seen = before.union(front)
-        step = edges.join(front, edges.src == front.node, "left_semi").select(F.col("dst").alias("node")).distinct()
-        step = cut(step.join(seen, "node", "left_anti"))
-        if step.isEmpty():
+        small = F.broadcast if size <= _SMALL else (lambda df: df)
+        step = edges.join(small(front), edges.src == front.node, "left_semi").select(F.col("dst").alias("node"))
+        step = cut(step.join(small(seen), "node", "left_anti").distinct())
+        found = step.count()
+        if not found:
             return reduce(DataFrame.union, done + open_levels)
-        before, front = front, step
+        before, front, size, last = front, step, found + last, found
         open_levels.append(step)
         if len(open_levels) >= _COMPACT:
             done.append(cut(reduce(DataFrame.union, open_levels[:-2]).coalesce(8)))
