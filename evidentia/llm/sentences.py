@@ -66,7 +66,8 @@ _UNKNOWN = (-1.5, 0.5)
 
 
 def _opening(text: str) -> str:
-    return regex.sub(r"^[\s\p{P}]+", "", text[:12])[:2]
+    start = regex.sub(r"^[\s\p{P}]+", "", text[:12])
+    return start[:2] if start[:1] >= "฀" else start[:3]
 
 
 def _ending(text: str) -> str:
