@@ -15,6 +15,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.session import cut
 from evidentia.sources.tables import current, load
 
 # Letters of other alphabets that print like a Latin letter, pair by pair.
@@ -68,25 +69,26 @@ def canonical_forms(values: DataFrame) -> DataFrame:
     return keyed.join(classes, "look").select("value", "canonical")
 
 
-def same_looks(mentions: DataFrame, forms: DataFrame, field: str) -> DataFrame:
-    """Pairs of mentions of one region whose ``field`` looks the same but differs in characters:
-    ``field_name, left_mention_id, right_mention_id``, the smaller id first.
+def same_looks(rows: DataFrame, forms: DataFrame) -> DataFrame:
+    """Pairs of mentions of one region whose value in a field looks the same but differs in
+    characters: ``field_name, left_mention_id, right_mention_id``, the smaller id first. ``rows``
+    has ``mention_id, region_id, field_name, value``.
 
     Pairs are formed between the distinct values of a class within a region, and only then between
     mentions, so equal values never meet and no pair is made that is not a result.
     """
-    rows = mentions.select("mention_id", "region_id", F.col(field).alias("value")).where("value IS NOT NULL AND region_id IS NOT NULL")
-    members = rows.join(forms, "value")
-    kinds = members.groupBy("region_id", "canonical", "value").agg(F.count("*").alias("n"))
-    several = kinds.groupBy("region_id", "canonical").agg(F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
-    odd = members.join(several, ["region_id", "canonical"], "left_semi")
-    values = odd.select("region_id", "canonical", "value").distinct()
-    other = values.withColumnRenamed("value", "other")
-    pairs = values.join(other, ["region_id", "canonical"]).where("value < other").drop("canonical")
-    left = odd.select("region_id", "value", F.col("mention_id").alias("a"))
-    right = odd.select("region_id", F.col("value").alias("other"), F.col("mention_id").alias("b"))
-    return pairs.join(left, ["region_id", "value"]).join(right, ["region_id", "other"]).select(
-        F.lit(field).alias("field_name"), F.least("a", "b").alias("left_mention_id"), F.greatest("a", "b").alias("right_mention_id")
+    group = ["field_name", "region_id", "canonical"]
+    classes = forms.groupBy("canonical").agg(F.count("*").alias("n")).where("n > 1").select("canonical")
+    various = forms.join(classes, "canonical", "left_semi")
+    members = rows.where("value IS NOT NULL AND region_id IS NOT NULL").join(various, "value")
+    several = members.groupBy(*group).agg(F.min("value").alias("least"), F.max("value").alias("most")).where("least < most").select(*group)
+    odd = cut(members.join(several, group, "left_semi"))
+    values = odd.select(*group, "value").distinct()
+    pairs = values.join(values.withColumnRenamed("value", "other"), group).where("value < other")
+    left = odd.select(*group, "value", F.col("mention_id").alias("a"))
+    right = odd.select(*group, F.col("value").alias("other"), F.col("mention_id").alias("b"))
+    return pairs.join(left, [*group, "value"]).join(right, [*group, "other"]).select(
+        "field_name", F.least("a", "b").alias("left_mention_id"), F.greatest("a", "b").alias("right_mention_id")
     )
 
 
@@ -102,9 +104,10 @@ def _forms(state: DataFrame) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    state = _state(spark, folder)
-    forms = _forms(state)
-    return same_looks(state, forms, FIELDS[0]).unionByName(same_looks(state, forms, FIELDS[1]))
+    state = cut(_state(spark, folder))
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS]))
+    rows = state.select("mention_id", "region_id", fields.alias("f")).select("mention_id", "region_id", "f.*")
+    return same_looks(rows, cut(_forms(state)))
 
 
 def p7_forms(spark: SparkSession, folder: str) -> DataFrame:

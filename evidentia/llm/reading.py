@@ -9,6 +9,7 @@ weights of the formula are fitted to the raters' opinions.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -29,12 +30,18 @@ MIN_SHARE = 0.004
 LABELLED = 20_000
 LEVELS = 3
 
-_RUNS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_ENDS = regex.compile(r"[.!?。！？…]+|\n+")
-_LATIN_HINTS = {  # fixed values: function words that tell the Latin-script languages apart
-    "en": frozenset("the of and to a in for at was her she".split()),
-    "fr": frozenset("le la les de des du et un une dans que pour".split()),
-    "de": frozenset("der die das und ein eine einen den zum mit auf".split()),
+#: Runs of letters and their marks.
+_RUNS = re.compile("[A-Za-zª-ºÀ-ÖØ-öø-ʯ\u0300-\u1fff\u3005\u3041-\u30ff\u3400-\u9fff\uac00-\ud7ff\uf900-\ufaff]+")
+_ENDS = re.compile(r"[.!?。！？…]+|\n+")
+# Function words that tell the languages of Latin script apart.
+_LATIN_HINTS = {
+    word: lang
+    for lang, words in {
+        "en": "the of and to a in for at was her she",
+        "fr": "le la les de des du et un une dans que pour",
+        "de": "der die das und ein eine einen den zum mit auf",
+    }.items()
+    for word in words.split()
 }
 
 
@@ -56,8 +63,8 @@ def language(text: str, words: list[str]) -> str:
         return "other"
     if top != "latin":
         return top
-    seen = Counter(words)
-    return max(_LATIN_HINTS, key=lambda k: sum(seen[w] for w in _LATIN_HINTS[k]))
+    seen = Counter(map(_LATIN_HINTS.get, words))
+    return max(("en", "fr", "de"), key=lambda k: seen[k])
 
 
 def words_of(text: str) -> list[str]:
@@ -147,8 +154,9 @@ def rated(labels: DataFrame, limit: int = LABELLED) -> DataFrame:
     return opinions.select("doc_id", F.floor("m").cast("int").alias("level")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, reading_level`` (1 to 3) of every document with a text that is not null.
+def reading_levels(documents: DataFrame, labels: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """``doc_id, reading_level`` (1 to 3) of every document with a text that is not null. The
+    document frequencies are those of ``corpus``, by default of the documents themselves.
 
     Texts without words get the level of an average text of their language. Without any label all
     documents have level 2. Repeated rows are kept as they come.
@@ -157,7 +165,8 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     known = cut(rated(labels))
     if known.isEmpty():
         return texts.select("doc_id", F.lit(2).alias("reading_level"))
-    lists = familiar_words(document_frequencies(texts.join(F.broadcast(known), "doc_id", "left")))  # at most LABELLED rows
+    counted = texts if corpus is None else corpus.select("doc_id", "text").where("text IS NOT NULL")
+    lists = familiar_words(document_frequencies(counted.join(F.broadcast(known), "doc_id", "left")))  # at most LABELLED rows
     features = cut(demand_features(texts, lists))
     parts = ["out1", "out2", "length"]
     stats = features.groupBy("lang").agg(*[f(c).alias(f"{n}_{c}") for c in parts for n, f in (("m", F.avg), ("s", F.stddev_pop))])
@@ -177,7 +186,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     asked = documents.where(
         (F.char_length("text") >= 200) & (F.col("variant") != "normalized_search") & ~F.col("page_genre").eqNullSafe("table_market_schedule")
     )
-    return reading_levels(documents, load(spark, folder, "reading_label")).join(asked.select("doc_id"), "doc_id", "left_semi")
+    return reading_levels(asked, load(spark, folder, "reading_label"), documents)
 
 
 QUERIES = {"p10_found": p10_found}
