@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ _SCRIPTS = {
 def language(text: str, words: list[str]) -> str:
     """Language by the scripts of evenly spaced characters, for Latin script by function words of
     the whole text; the ``lang`` column is not trusted."""
-    spread = text[:: max(1, len(text) // 256)]
+    spread = text[:: max(1, len(text) // 128)]
     counts = {script: len(pattern.findall(spread)) for script, pattern in _SCRIPTS.items()}
     japanese = counts["kana"] * 20 > counts["han"]
     counts["ja" if japanese else "zh"] = counts.pop("han") + counts.pop("kana")
@@ -72,7 +73,7 @@ def words_of(text: str) -> list[str]:
     words: list[str] = []
     for run in _RUNS.findall(text.lower()):
         if run[0] >= "぀" or "฀" <= run[0] <= "๿":
-            words += map("".join, zip(run, run[1:])) if len(run) > 1 else [run]
+            words += map(add, run, run[1:]) if len(run) > 1 else [run]
         else:
             words.append(run)
     return words
