@@ -144,6 +144,8 @@ def candidates(text: str, corpus: Corpus) -> Iterator[tuple[int, list[float], in
     0 for a reliable continuation and -1 where only the model can tell. Blank lines are boundaries
     by themselves and are no candidates; marks inside a quotation are none either, for a sentence
     runs on around it."""
+    if not text or text.isspace():
+        return
     lines = text.split("\n")
     lengths = [len(line.rstrip()) for line in lines]
     filled = sorted(n for n in lengths if n)
