@@ -12,7 +12,7 @@ from __future__ import annotations
 import unicodedata
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.session import cut
@@ -79,15 +79,17 @@ def same_looks(rows: DataFrame, forms: DataFrame) -> DataFrame:
     """
     group = ["field_name", "region_id", "canonical"]
     classes = forms.groupBy("canonical").agg(F.count("*").alias("n")).where("n > 1").select("canonical")
-    various = forms.join(classes, "canonical", "left_semi")
-    members = rows.where("value IS NOT NULL AND region_id IS NOT NULL").join(various, "value")
-    several = members.groupBy(*group).agg(F.min("value").alias("least"), F.max("value").alias("most")).where("least < most").select(*group)
+    # the values of a class are numbered, so that only the canonical form travels on
+    number = F.row_number().over(Window.partitionBy("canonical").orderBy("value")).alias("member")
+    various = forms.join(classes, "canonical", "left_semi").select("value", "canonical", number)
+    members = rows.where("value IS NOT NULL AND region_id IS NOT NULL").join(various, "value").drop("value")
+    several = members.groupBy(*group).agg(F.min("member").alias("least"), F.max("member").alias("most")).where("least < most").select(*group)
     odd = cut(members.join(several, group, "left_semi"))
-    values = odd.select(*group, "value").distinct()
-    pairs = values.join(values.withColumnRenamed("value", "other"), group).where("value < other")
-    left = odd.select(*group, "value", F.col("mention_id").alias("a"))
-    right = odd.select(*group, F.col("value").alias("other"), F.col("mention_id").alias("b"))
-    return pairs.join(left, [*group, "value"]).join(right, [*group, "other"]).select(
+    values = odd.select(*group, "member").distinct()
+    pairs = values.join(values.withColumnRenamed("member", "other"), group).where("member < other")
+    left = odd.select(*group, "member", F.col("mention_id").alias("a"))
+    right = odd.select(*group, F.col("member").alias("other"), F.col("mention_id").alias("b"))
+    return pairs.join(left, [*group, "member"]).join(right, [*group, "other"]).select(
         "field_name", F.least("a", "b").alias("left_mention_id"), F.greatest("a", "b").alias("right_mention_id")
     )
 
@@ -121,10 +123,11 @@ def _forms(state: DataFrame) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    state = cut(_state(spark, folder))
+    state = _state(spark, folder)
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS]))
     rows = state.select("mention_id", "region_id", fields.alias("f")).select("mention_id", "region_id", "f.*")
-    pairs = same_looks(rows, cut(_forms(state))).select("field_name", _unpacked("left_mention_id").alias("a"), _unpacked("right_mention_id").alias("b"))
+    forms = cut(_forms(load(spark, folder, "mention_queue")))  # classes of all values that were ever delivered
+    pairs = same_looks(rows, forms).select("field_name", _unpacked("left_mention_id").alias("a"), _unpacked("right_mention_id").alias("b"))
     return pairs.select("field_name", F.least("a", "b").alias("left_mention_id"), F.greatest("a", "b").alias("right_mention_id"))
 
 
