@@ -74,3 +74,17 @@ class RegexSpans:
     def eval(self, text: str, pattern: str) -> Iterator[tuple[int, int, str]]:
         for match in regex.finditer(pattern, text or ""):
             yield match.start(), match.end(), match.group()
+
+
+def chunk_ranges(size: int, spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Ranges of at most ``most`` characters that cover a text and cut through no span; a span
+    longer than that is a range of its own."""
+    out, start = [], 0
+    while start < size:
+        end = min(start + most, size)
+        for a, b in sorted(spans):
+            if a < end < b:
+                end = a if a > start else b
+        out.append((start, end))
+        start = end
+    return out
