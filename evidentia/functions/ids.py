@@ -9,6 +9,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical_json(value) -> str:
@@ -16,7 +17,7 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_digest(payloads: pd.Series) -> pd.Series:
     """SHA-256 of the canonical form of a JSON text; null stays null."""
     return payloads.map(lambda p: None if p is None else hashlib.sha256(canonical_json(json.loads(p)).encode()).hexdigest())
@@ -26,7 +27,7 @@ def name_uuid(namespace: str):
     """Column function: the name-based (SHA-1) uuid of a text within a namespace."""
     space = uuid.UUID(namespace)
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def of(names: pd.Series) -> pd.Series:
         return names.map(lambda n: None if n is None else str(uuid.uuid5(space, n)))
 

@@ -12,19 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(values: pd.Series) -> pd.Series:
     """Canonical composition; null stays null."""
     return values.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFC", v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def identity_key(values: pd.Series) -> pd.Series:
     """Compatibility composition, case folding, letters, digits and marks only."""
     return values.map(lambda v: None if v is None else regex.sub(r"[^\p{L}\p{N}\p{M}]+", "", unicodedata.normalize("NFKC", v).casefold()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Similarity by longest matching blocks, between 0 and 1; null if a side is null."""
     return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
@@ -61,13 +61,13 @@ def count_edits(expected: str, read: str) -> tuple[int, int, int]:
     return row[-1][1:]
 
 
-@F.pandas_udf("substitutions int, deletions int, insertions int")
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("substitutions", "deletions", "insertions")]))
 def edit_counts(expected: pd.Series, read: pd.Series) -> pd.DataFrame:
     rows = [count_edits(a or "", b or "") for a, b in zip(expected, read, strict=True)]
     return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions"])
 
 
-@F.udtf(returnType="start int, end int, surface string")
+@F.udtf(returnType=T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("surface", T.StringType())]))
 class RegexSpans:
     """Table function: every match of a pattern in a text with its offsets."""
 

@@ -96,7 +96,7 @@ def page_count(data: bytes) -> int | None:
     return int(count[1]) if count else None
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def pages_of(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for content in contents:
         yield content.map(lambda data: None if data is None else page_count(bytes(data))).astype("Int64")
