@@ -11,6 +11,7 @@ documents.
 from __future__ import annotations
 
 import math
+import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -40,8 +41,9 @@ _CANDIDATE = regex.compile(
 )
 _QUOTES = regex.compile("[「」『』“”„«»\"]")
 _PAIRS = {"「": "」", "『": "』", "“": "”", "„": "“", "«": "»"}
-_ABBREVIATION = regex.compile(r"(?<![\p{L}\p{M}])\p{L}{1,6}(?=(\.?))(?![\p{L}\p{M}])")
+_ABBREVIATION = re.compile(r"(?<![^\W\d_])([^\W\d_]{1,6})(?=(\.?))(?![^\W\d_])")
 _LAST_WORD = regex.compile(r"(?<![\p{L}\p{M}])(\p{L}{1,6})\.[”’\"'」』）)»\s]*$")
+_BEFORE, _AFTER, _MARKED = regex.compile(r"^[\s\p{P}]+"), regex.compile(r"[\s\p{P}]+$"), regex.compile(r"[.!?。！？]")
 _TOKEN_END = regex.compile(r"(?r)[\p{L}\p{M}]+|[0-9]+|.")
 
 
@@ -66,12 +68,12 @@ _UNKNOWN = (-1.5, 0.5)
 
 
 def _opening(text: str) -> str:
-    start = regex.sub(r"^[\s\p{P}]+", "", text[:12])
+    start = _BEFORE.sub("", text[:12])
     return start[:2] if start[:1] >= "฀" else start[:3]
 
 
 def _ending(text: str) -> str:
-    return regex.sub(r"[\s\p{P}]+$", "", text[-12:])[-3:]
+    return _AFTER.sub("", text[-12:])[-3:]
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
@@ -81,23 +83,22 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words: Counter = Counter()
-            dotted: Counter = Counter()
+            found: Counter = Counter()
             final: Counter = Counter()
             ends: Counter = Counter()
             for text in batch.column("text"):
                 text = text.as_py()
-                for match in _ABBREVIATION.finditer(text):
-                    words[match[0]] += 1
-                    if match[1]:
-                        dotted[match[0]] += 1
+                found.update(_ABBREVIATION.findall(text))
                 for part in _BLANK.split(text):
                     if part and not part.isspace():
                         ends["o", _opening(part)] += 1
                         ends["e", _ending(part)] += 1
                         if last := _LAST_WORD.search(part):
                             final[last[1]] += 1
-            rows = [("w", w, n, dotted[w], final[w]) for w, n in words.items()] + [(k, w, n, 0, 0) for (k, w), n in ends.items() if w]
+            words: Counter = Counter()
+            for (word, _), n in found.items():
+                words[word] += n
+            rows = [("w", w, n, found[w, "."], final[w]) for w, n in words.items()] + [(k, w, n, 0, 0) for (k, w), n in ends.items() if w]
             rows += [("w", "", sum(words.values()), 0, 0), *[(k, "", sum(n for (x, _), n in ends.items() if x == k), 0, 0) for k in "oe"]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -164,11 +165,11 @@ def candidates(text: str, corpus: Corpus) -> Iterator[tuple[int, list[float], in
         part = text[begin:stop]
         quotes = _quotations(part)
         opened = [a for a, _ in quotes]
-        marked = float(bool(regex.search(r"[.!?。！？]", part)))
+        marked = bool(_MARKED.search(part))
         for m in _CANDIDATE.finditer(part):
             kind = m.lastgroup if m.lastgroup in ("line", "space") else "mark"
             end = m.end("close") if kind == "mark" else m.start()
-            if kind != "mark" and not part[:end].strip():
+            if kind != "mark" and (end == 0 or part[:end].isspace()):
                 continue
             q = bisect_right(opened, m.start()) - 1
             inside = q >= 0 and m.start() < quotes[q][1]
@@ -179,8 +180,7 @@ def candidates(text: str, corpus: Corpus) -> Iterator[tuple[int, list[float], in
             gap = m["gap"] if kind == "mark" else m[0]
             following = part[m.end() : m.end() + 3]
             nxt = following[:1]
-            before = part[: m.start()]
-            token = _TOKEN_END.search(before, max(0, len(before) - 24))
+            token = _TOKEN_END.search(part, max(0, m.start() - 24), m.start())
             word = token[0] if token else ""
             mark = m["mark"] or ""
             line_no = bisect_right(starts, begin + end - 1) - 1 if "\n" in gap else -1
@@ -193,16 +193,16 @@ def candidates(text: str, corpus: Corpus) -> Iterator[tuple[int, list[float], in
             caseless = nxt.isalpha() and not upper and not lower
             dots = mark in ("...", "…", "……", "⋯⋯", "⋯", "‥") or (len(mark) > 1 and set(mark) <= set(".…⋯‥"))
             features = [
-                float(mark == "."), float(mark[:1] in "!?！？" and mark != ""), float(mark[:1] in "。．" and mark != ""), float(dots),
-                float(kind == "mark" and not gap), float(kind == "mark" and bool(gap) and "\n" not in gap), float("\n" in gap),
-                float(kind == "space" and "　" not in m[0]), float(kind == "space" and "　" in m[0]), float(not nxt),
-                float(upper), float(lower), float(digit_next), float(nxt in "「『“„«\"《‘(（" and nxt != ""), float(caseless),
-                float(bool(nxt) and not nxt.isalnum() and nxt not in "「『“„«\"《‘(（—–-"), float(word.isdigit()), float(mark == "." and len(word) == 1 and word.isalpha()),
-                (max(-3.0, min(4.0, odds)) / 2 if mark == "." else 0.0), (max(-3.0, min(1.0, ends)) if mark == "." else 0.0), float(mark == "." and 0 < len(word) <= 3 and word.isalpha()),
-                float(closes), colon, number, fits, loose if line_no >= 0 else 0.0, float(line_no >= 0 and "\t" in lines[line_no]),
+                (mark == "."), (mark[:1] in "!?！？" and mark != ""), (mark[:1] in "。．" and mark != ""), (dots),
+                (kind == "mark" and not gap), (kind == "mark" and bool(gap) and "\n" not in gap), ("\n" in gap),
+                (kind == "space" and "　" not in m[0]), (kind == "space" and "　" in m[0]), (not nxt),
+                (upper), (lower), (digit_next), (nxt in "「『“„«\"《‘(（" and nxt != ""), (caseless),
+                (bool(nxt) and not nxt.isalnum() and nxt not in "「『“„«\"《‘(（—–-"), (word.isdigit()), (mark == "." and len(word) == 1 and word.isalpha()),
+                (max(-3.0, min(4.0, odds)) / 2 if mark == "." else 0.0), (max(-3.0, min(1.0, ends)) if mark == "." else 0.0), (mark == "." and 0 < len(word) <= 3 and word.isalpha()),
+                (closes), colon, number, fits, loose if line_no >= 0 else 0.0, (line_no >= 0 and "\t" in lines[line_no]),
                 corpus.openings.get(_opening(part[m.end() : m.end() + 12]), 0.0) / 4, corpus.endings.get(_ending(part[max(0, end - 12) : end]), 0.0) / 4,
-                marked, float(kind == "line"), float(kind == "mark" and "\n" in gap), float(nxt in "—–-" and nxt != ""),
-                float(closes and not colon and caseless and not gap), float(kind == "line" and not fits and loose < 0.3),
+                marked, (kind == "line"), (kind == "mark" and "\n" in gap), (nxt in "—–-" and nxt != ""),
+                (closes and not colon and caseless and not gap), (kind == "line" and not fits and loose < 0.3),
             ]
             label = -1
             if kind == "mark":
@@ -241,7 +241,7 @@ def units(text: str, corpus: Corpus, weights: np.ndarray) -> list[tuple[int, int
     found = list(candidates(text, corpus))
     ends = [m.start() for m in _BLANK.finditer(text)] + [len(text)]
     if found:
-        chosen = maxent.probabilities(np.array([f for _, f, _ in found]), weights)[:, 1] >= 0.5
+        chosen = maxent.probabilities(np.array([f for _, f, _ in found], float), weights)[:, 1] >= 0.5
         ends += [end for (end, _, _), keep in zip(found, chosen, strict=True) if keep]
     out, start = [], 0
     for end in sorted(set(ends)):
@@ -261,7 +261,7 @@ def train(texts: DataFrame, corpus: Corpus) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                rows = [(doc * 1_000_003 + end, label, f) for end, f, label in candidates(text.as_py(), corpus) if label >= 0]
+                rows = [(doc * 1_000_003 + end, label, list(map(float, f))) for end, f, label in candidates(text.as_py(), corpus) if label >= 0]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
