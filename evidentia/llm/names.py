@@ -30,6 +30,7 @@ from evidentia.sources.tables import current, load
 SIMILAR = 0.3
 #: Share of a catalogue name's token weight that a candidate must have in similar tokens.
 WEIGHT_SHARE = 0.3
+#: Least score of a link, and least lead over the next entity (more for lower scores).
 ACCEPT, MARGIN = 0.72, 0.015
 
 # Forms of address and legal forms around a name, in lower case.
@@ -176,9 +177,11 @@ class Verifier:
             else:
                 extra[i - 1] = ""
                 i, j = i - 1, j - 1
-        # a doubled character and one that no name has are slips; the end of a name tells its kind
+        # a doubled character and one (but no more) that no name has are slips; the end of a name
+        # tells its kind
         known = [k for k, c in enumerate(extra) if c and c in self.weights and c not in mention[max(0, k - 1) : k] + mention[k + 1 : k + 2]]
-        more = sum(self.weight(mention[k]) * (0.3 if k >= len(mention) - 2 else 1.0) for k in known)
+        strange = [k for k, c in enumerate(extra[: len(mention) - 2]) if c and c not in self.weights]
+        more = sum(self.weight(mention[k]) * (0.3 if k >= len(mention) - 2 else 1.0) for k in known) + self.most * max(0, len(strange) - 1)
         common, whole = rows[-1][-1], sum(map(self.weight, name))
         return 0.0 if more > 0.08 * whole else 0.98 * common / (0.65 * common + 0.35 * whole + more)
 
@@ -387,12 +390,12 @@ def link_names(values: DataFrame, catalogue: DataFrame, nicknames: DataFrame) ->
             scores = [verifier.score(m, n, k or "") for k, m, n in zip(*(batch.column(c).to_pylist() for c in ("entity_type", "key", "name")), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema=schema)
 
-    scored = pairs.mapInArrow(verify, "entity_type string, key string, name string, score double").where(F.col("score") >= ACCEPT - MARGIN)
+    scored = pairs.mapInArrow(verify, "entity_type string, key string, name string, score double").where(F.col("score") >= ACCEPT - MARGIN - 0.15 * (1 - ACCEPT))
     owners = names.select("entity_type", F.col("key").alias("name"), "entity_id").distinct()
     per_entity = scored.join(owners, ["entity_type", "name"]).groupBy("entity_type", "key", "entity_id").agg(F.max("score").alias("score"))
     ranked = per_entity.groupBy("entity_type", "key").agg(F.sort_array(F.collect_list(F.struct("score", "entity_id")), asc=False).alias("best"))
     sure = ranked.where(
-        (F.col("best")[0]["score"] >= ACCEPT) & ((F.size("best") == 1) | (F.col("best")[0]["score"] - F.get("best", F.lit(1))["score"] >= MARGIN))
+        (F.col("best")[0]["score"] >= ACCEPT) & ((F.size("best") == 1) | (F.col("best")[0]["score"] - F.get("best", F.lit(1))["score"] >= MARGIN + 0.15 * (1 - F.col("best")[0]["score"])))
     ).select("entity_type", "key", F.col("best")[0]["entity_id"].alias("entity_id"))
     return own.join(sure, ["entity_type", "key"]).select("value", "entity_type", "entity_id")
 
