@@ -31,7 +31,7 @@ SIMILAR = 0.3
 #: Share of a catalogue name's token weight that a candidate must have in similar tokens.
 WEIGHT_SHARE = 0.3
 #: Least score of a link, and least lead over the next entity (more for lower scores).
-ACCEPT, MARGIN = 0.72, 0.015
+ACCEPT, MARGIN, LEAD = 0.72, 0.015, 0.3
 
 # Forms of address and legal forms around a name, in lower case.
 _TITLES = "mr mrs ms miss mme mlle dr rev prof sir lady madame monsieur frau frl herr".split()
@@ -390,12 +390,12 @@ def link_names(values: DataFrame, catalogue: DataFrame, nicknames: DataFrame) ->
             scores = [verifier.score(m, n, k or "") for k, m, n in zip(*(batch.column(c).to_pylist() for c in ("entity_type", "key", "name")), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema=schema)
 
-    scored = pairs.mapInArrow(verify, "entity_type string, key string, name string, score double").where(F.col("score") >= ACCEPT - MARGIN - 0.15 * (1 - ACCEPT))
+    scored = pairs.mapInArrow(verify, "entity_type string, key string, name string, score double").where(F.col("score") >= ACCEPT - MARGIN - LEAD * (1 - ACCEPT))
     owners = names.select("entity_type", F.col("key").alias("name"), "entity_id").distinct()
     per_entity = scored.join(owners, ["entity_type", "name"]).groupBy("entity_type", "key", "entity_id").agg(F.max("score").alias("score"))
     ranked = per_entity.groupBy("entity_type", "key").agg(F.sort_array(F.collect_list(F.struct("score", "entity_id")), asc=False).alias("best"))
     sure = ranked.where(
-        (F.col("best")[0]["score"] >= ACCEPT) & ((F.size("best") == 1) | (F.col("best")[0]["score"] - F.get("best", F.lit(1))["score"] >= MARGIN + 0.15 * (1 - F.col("best")[0]["score"])))
+        (F.col("best")[0]["score"] >= ACCEPT) & ((F.size("best") == 1) | (F.col("best")[0]["score"] - F.get("best", F.lit(1))["score"] >= MARGIN + LEAD * (1 - F.col("best")[0]["score"])))
     ).select("entity_type", "key", F.col("best")[0]["entity_id"].alias("entity_id"))
     return own.join(sure, ["entity_type", "key"]).select("value", "entity_type", "entity_id")
 

@@ -95,7 +95,10 @@ def test_similar_tokens_equal_brute_force(spark):
 
 
 def test_looks(spark):
-    same = [["Tarrazel", "Tаrrazel", "Ｔａｒｒａｚｅｌ", "Tar​razel"], ["Élodie", "Élodie"], ["文慧", "⽂慧", "文︀慧"], ["デパート", "ﾃﾞﾊﾟｰﾄ", "デパート"], ["A B", "A B", "A B"]]
+    same = [
+        ["Tarrazel", "T\u0430rrazel", "\uff34\uff41rrazel", "Tar\u200brazel"], ["\u00c9lodie", "E\u0301lodie"], ["文慧", "\u2f42慧", "文\ufe00慧"],
+        ["デパート", "\uff83\uff9e\uff8a\uff9f\uff70\uff84", "テ\u3099ハ\u309aート"], ["A B", "A\u00a0B", "A\u2009B"],
+    ]
     other = ["tarrazel", "Elodie", "AB", "乐", "樂", ""]
     data = [(v,) for group in same for v in group] + [(v,) for v in other] + [(None,)]
     got = {r.value: r.canonical for r in lookalikes.canonical_forms(spark.createDataFrame(data, "value string")).collect()}
