@@ -27,7 +27,7 @@ from evidentia.llm import maxent
 from evidentia.session import cut
 from evidentia.sources.tables import load
 
-#: Documents (in hash order) and candidates that the model is fitted to, at most.
+#: Documents (on average, by digest) and candidates (at most) that the model is fitted to.
 SAMPLE_DOCUMENTS, SAMPLE_CANDIDATES = 2_000, 40_000
 #: Listed abbreviations, openings and endings make up at least this share of all of their kind.
 MIN_SHARE = 2e-5
@@ -255,7 +255,8 @@ def units(text: str, corpus: Corpus, weights: np.ndarray) -> list[tuple[int, int
 
 def train(texts: DataFrame, corpus: Corpus) -> np.ndarray:
     """Weights fitted to the reliable candidates of a bounded sample of documents."""
-    sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCUMENTS)
+    share = min(1.0, SAMPLE_DOCUMENTS / max(1, texts.count()))  # taken by digest, without a shuffle of texts
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     schema = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("features", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
