@@ -141,5 +141,18 @@ def p7_forms(spark: SparkSession, folder: str) -> DataFrame:
     return state.select(_unpacked("mention_id").alias("mention_id"), *[f"{field}_form" for field in FIELDS])
 
 
+def _found_sql() -> str:
+    """The same pairs with composed text instead of a collation."""
+    source, target = (part.replace("'", "''") for part in _mapping())
+    parts = [
+        f"""SELECT '{field}' AS field_name, region_id, mention_id, {field} AS v, nfc_normalize(translate(regexp_replace({field}, '{INVISIBLE}', '', 'g'), '{source}', '{target}')) AS look FROM m"""
+        for field in FIELDS
+    ]
+    return f"""WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY ingested_at DESC) AS rn FROM mention_queue) WHERE rn = 1),
+    l AS ({" UNION ALL ".join(parts)})
+    SELECT a.field_name, a.mention_id AS left_mention_id, b.mention_id AS right_mention_id FROM l a JOIN l b
+    ON a.field_name = b.field_name AND a.region_id = b.region_id AND a.look = b.look AND a.v <> b.v AND a.mention_id < b.mention_id"""
+
+
 QUERIES = {"p7_found": p7_found, "p7_forms": p7_forms}
-ORACLE: dict[str, str] = {}
+ORACLE = {"p7_found": _found_sql()}
