@@ -1,7 +1,8 @@
 """Consolidating pairwise matches into groups.
 
-Method: the component of the vertex with the highest degree is peeled off by breadth-first joins
-from that vertex, frontier by frontier, and anti-joined away; what is left are small components,
+Method: two rounds of minimum propagation contract the graph, which shortens its chains; then the
+component of the vertex with the highest degree is peeled off by breadth-first joins from that
+vertex, frontier by frontier, and anti-joined away; what is left are small components,
 which are labelled by propagating the smallest vertex along the edges until nothing changes. Every
 round also follows the labels one step (the label of a vertex becomes the label of its label), so
 that long chains need few rounds.
@@ -67,12 +68,36 @@ def _propagate(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round of minimum propagation over everything, and the edges between what it leaves: each
+    vertex goes to the smallest vertex next to it and on to where that one goes. Shortens the paths
+    that the search has to walk level by level."""
+    near = edges.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label"))
+    near = cut(near)
+    ahead = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    labels = cut(near.join(ahead, "label").select("node", F.col("next").alias("label")))
+    a = labels.select(F.col("node").alias("src"), F.col("label").alias("x"))
+    b = labels.select(F.col("node").alias("dst"), F.col("label").alias("y"))
+    shorter = edges.join(a, "src").join(b, "dst").where("x <> y").select(F.col("x").alias("src"), F.col("y").alias("dst")).distinct()
+    return labels, cut(shorter)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every vertex of the pairs ``src, dst``; the label is the smallest vertex
     of the component. Pairs with a null end and pairs of a vertex with itself tie nothing and are
     dropped; repeated pairs and pairs in both orders count once; no pairs give no rows. Extra
     columns of ``edges`` are ignored."""
     edges = cut(_undirected(edges))
+    vertices, edges = _contract(edges)
+    within, edges = _contract(edges)
+    found = _peel_and_label(edges)
+    for labels in (within, vertices):  # what a contracted vertex belongs to, back to the vertices
+        further = found.select(F.col("node").alias("label"), F.col("label").alias("last"))
+        found = labels.join(further, "label", "left").select("node", F.coalesce("last", "label").alias("label"))
+    return found
+
+
+def _peel_and_label(edges: DataFrame) -> DataFrame:
     hub = cut(edges.groupBy("src").count().orderBy(F.desc("count"), "src").limit(1).select(F.col("src").alias("node")))
     if hub.isEmpty():
         return edges.select(F.col("src").alias("node"), F.col("dst").alias("label"))
