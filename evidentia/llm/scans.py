@@ -352,27 +352,28 @@ def judge(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     right = targets.where("kind = 's'").select(F.col("item").alias("other"), around.alias("gram"))
     near = _pair_rows(words.unionByName(left.join(right, "gram").select("kind", "item", "other")).where("item <> other")).where("stretch <= 3")
     scored = near.join(targets.select("kind", F.col("item").alias("other"), F.col("known").alias("frequency")), ["kind", "other"])
-    # the nearest and most frequent candidates of an item; a habit of misreading is told by how many
-    # different items show the same difference, read ones against rare ones that are right
+    # every candidate of an item is judged, and how near and frequent it is among them is a feature; a
+    # habit of misreading is told by how many different items show the same difference, read ones
+    # against rare ones that are right
     best = Window.partitionBy("kind", "item").orderBy("stretch", F.desc("frequency"), "other")
     ranked = cut(
-        scored.withColumn("rank", F.row_number().over(best)).withColumn("candidates", F.count("*").over(Window.partitionBy("kind", "item"))).where("rank <= 3")
+        scored.withColumn("rank", F.row_number().over(best)).withColumn("candidates", F.count("*").over(Window.partitionBy("kind", "item")))
         .join(probes, ["kind", "item"])
     )
     habits = ranked.groupBy("kind", "difference").agg(F.sum("read").alias("habit"), F.sum(1 - F.col("read")).alias("clean"))
     shares = ranked.agg(F.sum("read").alias("all_read"), F.sum(1 - F.col("read")).alias("all_clean"))
     log = F.log1p
     rows = ranked.join(habits, ["kind", "difference"]).crossJoin(F.broadcast(shares)).select(
-        "kind", "item", "other", "at", "read", "rank",
+        "kind", "item", "other", "at", "read",
         F.array(
             F.col("stretch").cast("double"), F.char_length("item").cast("double"), log("frequency"), log("n"), log("habit"),
             F.log((F.col("habit") / (F.col("all_read") + 1) + 1e-5) / (F.col("clean") / (F.col("all_clean") + 1) + 1e-4)),
             F.col("item").rlike(r"[0-9\p{P}\p{S}]").cast("double"), (F.col("at") == 0).cast("double"), (F.col("kind") == "s").cast("double"),
-            log("candidates"), (F.char_length("item") - F.char_length("other")).cast("double"), log(F.col("frequency") / F.col("n")),
+            log("candidates"), (F.char_length("item") - F.char_length("other")).cast("double"), log(F.col("frequency") / F.col("n")), log("rank"),
         ).alias("features"),
     )
     rows = cut(rows)
-    sample = rows.where("rank = 1").orderBy(F.xxhash64("item", "kind"), "item").limit(SAMPLE_PAIRS).select("features", "read").toPandas()
+    sample = rows.orderBy(F.xxhash64("item", "kind", "other"), "item", "other").limit(SAMPLE_PAIRS).select("features", "read").toPandas()
     trees = Booster().fit(np.array(sample.features.tolist()).reshape(len(sample), -1), sample.read.to_numpy(float))
 
     schema = pa.schema([("kind", pa.string()), ("item", pa.string()), ("correction", pa.string()), ("at", pa.int32()), ("p", pa.float64())])

@@ -287,6 +287,26 @@ def test_noise_of_planted_pages(spark):
     assert heads <= found and not {r for r in found if r[0] in ("null", "empty")}
 
 
+def habitual_misreadings(spark, rare=60):
+    """Items and lexicon: 'l' was read as 'j' in 60 words and in 'balkonu'; ``rare`` right words have
+    'j' where others have one of n, r, s, t and v."""
+    rng = random.Random(7)
+    lexicon, items = Counter(), Counter({"bajkonu": 1})
+    for k in range(60 + rare):
+        word, at = "".join(rng.choice("abcdefghikmopu") for _ in range(6)), rng.randrange(1, 6)
+        lexicon[word[:at] + ("l" if k < 60 else "nrstv"[k % 5]) + word[at:]] = 20
+        (items if k < 60 else lexicon)[word[:at] + "j" + word[at:]] = 1
+    lexicon |= Counter({f"ba{c}konu": 1000 for c in "nrstv"}) | Counter({"balkonu": 20})
+    schema = "kind string, item string, n bigint"
+    return [spark.createDataFrame([("w", w, n) for w, n in counted.items()], schema) for counted in (items, lexicon)]
+
+
+def test_candidates_behind_more_frequent_ones_are_judged(spark):
+    items, lexicon = habitual_misreadings(spark)
+    got = {r.item: r.correction for r in scans.judge(items, lexicon).collect()}
+    assert got.get("bajkonu") == "balkonu"  # five other words are as near and more frequent
+
+
 def test_edits():
     assert scans.edit("comrnittee", "committee") == (2, 3, "rn>m")
     assert scans.edit("abc", "abc")[0] == 0
