@@ -12,17 +12,19 @@ class Booster:
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
         self.base, self.trees = 0.0, []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Booster:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Booster:
         if not len(x) or y.min() == y.max():
             self.base = -4.0 if not len(x) or not y[0] else 4.0
             return self
         edges = [np.unique(np.quantile(column, np.linspace(0, 1, self.bins + 1)[1:-1])) for column in x.T]
         binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], 1)
-        self.base = float(np.log(y.mean() / (1 - y.mean())))
+        weight = np.ones(len(y)) if weight is None else weight
+        share = float(np.average(y, weights=weight))
+        self.base = float(np.log(share / (1 - share)))
         score = np.full(len(y), self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-score))
-            tree = self._grow(binned, edges, p - y, p * (1 - p), np.arange(len(y)), self.depth)
+            tree = self._grow(binned, edges, weight * (p - y), weight * p * (1 - p), np.arange(len(y)), self.depth)
             self.trees.append(tree)
             score += self._walk(tree, x)
         return self

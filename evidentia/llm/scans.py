@@ -332,7 +332,9 @@ def judge(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     (how often it was read), ``lexicon`` ``kind, item, n`` of edited texts.
 
     The trees learn from the corpus itself: items that edited texts never have, against rare items
-    that they do have, each with its nearest other items.
+    that they do have, each with its nearest other items. Habits are rates over all items of both
+    sides; only the pairs that the trees are fitted to are sampled, and both sides weigh the same
+    there, so that neither depends on the size of the corpus.
     """
     known = lexicon.where("item <> ''").select("kind", "item", F.col("n").alias("known"))
     asked = cut(items.join(known, ["kind", "item"], "left").select("kind", "item", "n", F.coalesce("known", F.lit(0)).alias("known")))
@@ -341,7 +343,7 @@ def judge(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     first, last = pairs.select(F.col("item").alias("head")), pairs.select(F.col("item").alias("tail"))
     unusual = known.where("known <= 3 AND kind = 's'").withColumns({"head": F.substring("item", 1, 2), "tail": F.substring("item", 2, 2)})
     unusual = unusual.join(first, "head", "left_anti").join(last, "tail", "left_anti").select("kind", "item", "known")
-    rare = known.where("known <= 3 AND kind = 'w'").unionByName(unusual).orderBy(F.xxhash64("item"), "item").limit(SAMPLE_PAIRS // 4).select("kind", "item", F.col("known").alias("n"), F.lit(0).alias("read"))
+    rare = known.where("known <= 3 AND kind = 'w'").unionByName(unusual).select("kind", "item", F.col("known").alias("n"), F.lit(0).alias("read"))
     probes = cut(fresh.unionByName(rare))
     targets = known.where("known >= 4")
     words = similar_tokens(
@@ -361,20 +363,22 @@ def judge(items: DataFrame, lexicon: DataFrame) -> DataFrame:
         .join(probes, ["kind", "item"])
     )
     habits = ranked.groupBy("kind", "difference").agg(F.sum("read").alias("habit"), F.sum(1 - F.col("read")).alias("clean"))
-    shares = ranked.agg(F.sum("read").alias("all_read"), F.sum(1 - F.col("read")).alias("all_clean"))
+    shares = ranked.where("rank = 1").agg(F.sum("read").alias("all_read"), F.sum(1 - F.col("read")).alias("all_clean"))
     log = F.log1p
     rows = ranked.join(habits, ["kind", "difference"]).crossJoin(F.broadcast(shares)).select(
         "kind", "item", "other", "at", "read",
         F.array(
-            F.col("stretch").cast("double"), F.char_length("item").cast("double"), log("frequency"), log("n"), log("habit"),
+            F.col("stretch").cast("double"), F.char_length("item").cast("double"), log("frequency"), log("n"), F.log(F.col("habit") / (F.col("all_read") + 1) + 1e-5),
             F.log((F.col("habit") / (F.col("all_read") + 1) + 1e-5) / (F.col("clean") / (F.col("all_clean") + 1) + 1e-4)),
             F.col("item").rlike(r"[0-9\p{P}\p{S}]").cast("double"), (F.col("at") == 0).cast("double"), (F.col("kind") == "s").cast("double"),
             log("candidates"), (F.char_length("item") - F.char_length("other")).cast("double"), log(F.col("frequency") / F.col("n")), log("rank"),
         ).alias("features"),
     )
     rows = cut(rows)
-    sample = rows.orderBy(F.xxhash64("item", "kind", "other"), "item", "other").limit(SAMPLE_PAIRS).select("features", "read").toPandas()
-    trees = Booster().fit(np.array(sample.features.tolist()).reshape(len(sample), -1), sample.read.to_numpy(float))
+    sides = [rows.where(F.col("read") == read).orderBy(F.xxhash64("item", "kind", "other"), "item", "other").limit(SAMPLE_PAIRS // 2) for read in (0, 1)]
+    sample = sides[0].unionByName(sides[1]).select("features", "read").toPandas()
+    weight = (len(sample) / 2 / sample.groupby("read")["read"].transform("size")).to_numpy(float)
+    trees = Booster().fit(np.array(sample.features.tolist()).reshape(len(sample), -1), sample.read.to_numpy(float), weight)
 
     schema = pa.schema([("kind", pa.string()), ("item", pa.string()), ("correction", pa.string()), ("at", pa.int32()), ("p", pa.float64())])
 

@@ -307,6 +307,26 @@ def test_candidates_behind_more_frequent_ones_are_judged(spark):
     assert got.get("bajkonu") == "balkonu"  # five other words are as near and more frequent
 
 
+def test_habits_are_told_by_all_rare_items(spark, monkeypatch):
+    monkeypatch.setattr(scans, "SAMPLE_PAIRS", 40)
+    items, lexicon = habitual_misreadings(spark, rare=300)
+    names = ["ogjapek", "cujimad", "figebjo"]  # right, and as 'j' for n, r, s, t and v in rare words
+    items = items.unionByName(items.sparkSession.createDataFrame([("w", n, 1) for n in names], items.schema))
+    lexicon = lexicon.unionByName(items.sparkSession.createDataFrame([("w", n.replace("j", c), 20) for n, c in zip(names, "nsv")], items.schema))
+    misread = {r.item for r in scans.judge(items, lexicon).collect()}
+    assert not misread & set(names) and len(misread) == 61
+
+
+def test_weights_are_repeated_rows():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(200, 3)).round(1)
+    y = (x[:, 0] + rng.normal(size=200) > 0).astype(float)
+    weight = np.where(y == 1, 3, 1)
+    weighted = boosting.Booster(rounds=5, bins=500).fit(x, y, weight.astype(float))
+    repeated = boosting.Booster(rounds=5, bins=500).fit(np.repeat(x, weight, 0), np.repeat(y, weight))
+    assert np.isclose(weighted.base, repeated.base) and np.abs(weighted.probability(x) - repeated.probability(x)).max() < 0.1
+
+
 def test_edits():
     assert scans.edit("comrnittee", "committee") == (2, 3, "rn>m")
     assert scans.edit("abc", "abc")[0] == 0
