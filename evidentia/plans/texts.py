@@ -167,7 +167,8 @@ def substitution_counts(spark: SparkSession, d: str) -> DataFrame:
 WITH p AS (SELECT c.variant, regexp_replace(c.text_content, '[^ -~]', '', 'g') AS a, regexp_replace(q.text_content, '[^ -~]', '', 'g') AS b FROM {V} c JOIN {V} q ON q.text_version_id = lower(c.parent_text_version_id))
 SELECT variant, count(*) AS n, sum(levenshtein(a, b))::BIGINT AS edits, sum(length(b))::BIGINT AS chars, round(sum(levenshtein(a, b)) / nullif(sum(length(b)), 0), 6) AS rate FROM p GROUP BY 1""")
 def character_error_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Edits per character from a version to the one before, over the ASCII part of the text."""
+    """Edits per character from a version to the one before, over the ASCII part of the text, which
+    its SQL can count; ``character_error_rate_all`` takes whole texts."""
     v = live_versions(spark, d).withColumn("t", F.regexp_replace("text_content", "[^ -~]", ""))
     child = v.where("parent_text_version_id IS NOT NULL").select(F.lower("parent_text_version_id").alias("p"), "variant", F.col("t").alias("a"))
     pairs = child.join(v.select(F.col("text_version_id").alias("p"), F.col("t").alias("b")), "p")
@@ -175,6 +176,17 @@ def character_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("variant").agg(F.count("*").alias("n"), edits.alias("edits"), chars.alias("chars"), F.round(edits / F.nullif(chars, F.lit(0)), 6).alias("rate"))
 
 
+@query()
+def character_error_rate_all(spark: SparkSession, d: str) -> DataFrame:
+    """Edits per character (code point) from a version to the one before, over whole texts in any
+    script; pairs without one of the texts do not count. No SQL: DuckDB's levenshtein counts bytes."""
+    v = live_versions(spark, d).where("text_content IS NOT NULL")
+    child = v.where("parent_text_version_id IS NOT NULL").select(F.lower("parent_text_version_id").alias("p"), "variant", F.col("text_content").alias("a"))
+    pairs = child.join(v.select(F.col("text_version_id").alias("p"), F.col("text_content").alias("b")), "p")
+    edits, chars = F.sum(F.levenshtein("a", "b")), F.sum(F.char_length("b"))
+    return pairs.groupBy("variant").agg(F.count("*").alias("n"), edits.alias("edits"), chars.alias("chars"), F.round(edits / F.nullif(chars, F.lit(0)), 6).alias("rate"))
+
+
 @query(f"""WITH p AS (SELECT region_id, polygon.points AS q FROM {R} WHERE polygon IS NOT NULL)
 SELECT region_id, list_min([z.x FOR z IN q]) AS x0, list_max([z.y FOR z IN q]) AS y1,
 round(abs(list_sum([q[i].x * q[i % len(q) + 1].y - q[i % len(q) + 1].x * q[i].y FOR i IN generate_series(1, len(q))])) / 2, 4) AS area FROM p WHERE len(q) >= 3""")
