@@ -144,12 +144,25 @@ def decade_strata(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n FROM documents WHERE text IS NOT NULL AND lang = 'en')
 SELECT doc_id, n::INT AS tokens, (1 + greatest(0, ceil((n - 64) / 56.0)))::INT AS windows, (greatest(0, ceil((n - 64) / 56.0)) * 56)::INT AS last_start FROM w""")
 def token_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Sliding token windows of 64 with an overlap of an eighth; the last reaches the end."""
-    words = load(spark, d, "documents").where("text IS NOT NULL AND lang = 'en'").select("doc_id", F.size(F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")).alias("tokens"))
+    """Sliding token windows of 64 with an overlap of an eighth; the last reaches the end. Only rows
+    with ``lang`` 'en', as its SQL; ``token_windows_all`` takes every text."""
+    return _token_windows(load(spark, d, "documents").where("text IS NOT NULL AND lang = 'en'"))
+
+
+def _token_windows(documents: DataFrame) -> DataFrame:
+    words = documents.select("doc_id", F.size(F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w != "")).alias("tokens"))
     starts = words.withColumn("s", spans.sliding(F.col("tokens"), 64, 56))
     return starts.select("doc_id", "tokens", F.size("s").alias("windows"), F.element_at("s", -1).alias("last_start"))
 
 
+@query("""WITH w AS (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, n::INT AS tokens, (1 + greatest(0, ceil((n - 64) / 56.0)))::INT AS windows, (greatest(0, ceil((n - 64) / 56.0)) * 56)::INT AS last_start FROM w""")
+def token_windows_all(spark: SparkSession, d: str) -> DataFrame:
+    """``token_windows`` of every text that is not null, whatever its ``lang``; a token is a run
+    between white space in any script."""
+    return _token_windows(load(spark, d, "documents").where("text IS NOT NULL"))
+
+
 @query(f"""
 WITH p AS (SELECT c.text_content AS a, q.text_content AS b FROM {V} c JOIN {V} q ON q.text_version_id = lower(c.parent_text_version_id) WHERE length(c.text_content) = length(q.text_content)),
 x AS (SELECT unnest(string_split(b, '')) AS before, unnest(string_split(a, '')) AS after FROM p WHERE length(a) > 0)

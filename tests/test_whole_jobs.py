@@ -26,3 +26,10 @@ def test_error_rate_of_whole_texts(spark, folder, tmp_path):
     whole = [(b, a) for b, a in pairs if a is not None]
     edits, chars = sum(sum(count_edits(b, a)) for b, a in whole), sum(len(b) for b, _ in whole)
     assert got == [("edited", len(whole), edits, chars, round(edits / chars, 6))]
+
+
+def test_windows_of_every_language(spark, folder, tmp_path):
+    langs = ["en", "EN", "eng", "zh-Hant", "fr", "ja", "de", "ru", "th", None]
+    data = [{"doc_id": k, "lang": lang, "text": "woman 女子 " * 40 + "\n" * (k % 2)} for k, lang in enumerate(langs)] + [{"doc_id": 90, "lang": "ja", "text": ""}, {"doc_id": 91, "lang": "en"}]
+    got = {tuple(r) for r in texts.token_windows_all(spark, write(spark, folder, tmp_path, "documents", data)).collect()}
+    assert got == {(k, 80, 2, 56) for k in range(len(langs))} | {(90, 0, 1, 0)}
