@@ -101,12 +101,29 @@ WITH c AS (SELECT entity_id, entity_type, list_sort(list_distinct(string_split(c
 p AS (SELECT a.entity_id AS l, b.entity_id AS r, len(list_intersect(a.s, b.s)) AS i, len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)) AS u FROM c a JOIN c b ON a.entity_type = b.entity_type AND a.entity_id < b.entity_id)
 SELECT l AS left_id, r AS right_id, round(i::DOUBLE / u, 6) AS jaccard FROM p WHERE i::DOUBLE / u >= 0.7""")
 def character_jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of bodies of one type with similar sets of characters, blocked on shared rare characters."""
+    """Pairs of bodies of one type with similar sets of characters, blocked on shared rare characters.
+    Only canonical names of schools and publications from 0.7, as its SQL;
+    ``character_jaccard_pairs_all`` takes all types and names."""
     names = load(spark, d, "authority_entity").where(F.col("entity_type").isin("school", "publication"))
     sets = names.select(F.col("entity_id").alias("id"), "entity_type", F.array_distinct(F.split("canonical_name", "")).alias("items"))
     return retrieval.jaccard_pairs(sets, "entity_type", 0.7).select(F.col("left_id"), F.col("right_id"), "jaccard")
 
 
+@query()
+def character_jaccard_pairs_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of entities of one type with the best similarity over all their names and aliases, from
+    0.35; names without letters and digits are similar to none. Characters are compared as in
+    ``identity_key``, without marks. No SQL; checked against brute force."""
+    from evidentia.functions.text import identity_key
+
+    value = F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    names = load(spark, d, "authority_entity").select("entity_id", "entity_type", value.alias("value"))
+    keys = names.select("entity_id", "entity_type", F.array_sort(F.array_distinct(F.split(F.regexp_replace(identity_key("value"), r"\p{M}+", ""), ""))).alias("items"))
+    sets = keys.where("items <> array('')").distinct().select(F.struct("entity_id", F.array_join("items", "").alias("name")).alias("id"), "entity_type", "items")
+    met = retrieval.jaccard_pairs(sets, "entity_type", 0.35).where("left_id.entity_id <> right_id.entity_id")
+    return met.groupBy(F.col("left_id.entity_id").alias("left_id"), F.col("right_id.entity_id").alias("right_id")).agg(F.max("jaccard").alias("jaccard"))
+
+
 @query(f"""
 WITH m AS (SELECT *, lower(mention_id) AS id FROM {M}),
 p AS (SELECT a.region_id, a.id AS subject_id, b.id AS object_id, b.text_start - a.text_end AS gap, row_number() OVER (PARTITION BY a.mention_text, b.mention_text ORDER BY b.text_start - a.text_end, a.id, b.id) AS rn

@@ -1,6 +1,9 @@
 """Queries that take all rows where one with SQL takes a part, against brute force on small tables."""
 
 import datetime as dt
+import itertools
+import re
+import unicodedata
 
 from evidentia.functions.text import count_edits
 from evidentia.plans import texts
@@ -33,3 +36,22 @@ def test_windows_of_every_language(spark, folder, tmp_path):
     data = [{"doc_id": k, "lang": lang, "text": "woman 女子 " * 40 + "\n" * (k % 2)} for k, lang in enumerate(langs)] + [{"doc_id": 90, "lang": "ja", "text": ""}, {"doc_id": 91, "lang": "en"}]
     got = {tuple(r) for r in texts.token_windows_all(spark, write(spark, folder, tmp_path, "documents", data)).collect()}
     assert got == {(k, 80, 2, 56) for k in range(len(langs))} | {(90, 0, 1, 0)}
+
+
+def test_pairs_of_all_names(spark, folder, tmp_path):
+    catalogue = [
+        ("1", "person", "柳芷淑", ["Liu Chih-shu"]), ("2", "person", "Liu Chih", None), ("3", "person", "湯嫻靜", ["T'ang", "柳芷"]), ("4", "organization", "アサギデパート", ["ｱｻｷﾞﾃﾞﾊﾟｰﾄ"]), ("5", "organization", "アサギ", []),
+        ("6", "school", "懿秀女子中學校", [None, ""]), ("7", "school", "懿秀女塾", ["·"]), ("8", "person", "·", ["—"]), ("9", "person", None, ["Élodie"]), ("a", "person", "Elodie\u0301", []), ("b", "publication", "柳芷淑", []),
+    ]
+    data = [dict(zip(("entity_id", "entity_type", "canonical_name", "aliases"), row, strict=True)) for row in [*catalogue, catalogue[0]]]
+    got = {tuple(r) for r in texts.character_jaccard_pairs_all(spark, write(spark, folder, tmp_path, "authority_entity", data)).collect()}
+
+    def letters(value):
+        return set(re.sub(r"[\W_]+", "", unicodedata.normalize("NFKC", value or "").casefold()))
+
+    expected = set()
+    for (i, kind, name, aliases), (j, other, second, more) in itertools.combinations(catalogue, 2):
+        best = max((len(x & y) / len(x | y) for x in map(letters, [name, *(aliases or [])]) for y in map(letters, [second, *(more or [])]) if x | y), default=0)
+        if kind == other and best >= 0.35:
+            expected.add((i, j, round(best, 6)))
+    assert got == expected and {p[:2] for p in got} >= {("1", "2"), ("1", "3"), ("4", "5"), ("6", "7"), ("9", "a")}
