@@ -140,8 +140,8 @@ def demand_features(documents: DataFrame, lists: dict[str, dict[str, int]]) -> D
                 words = words_of(text)
                 lang = language(text, words)
                 levels = Counter(map(lists_of.value.get(lang, {}).get, words))
-                known = max(1, sum(levels.values()) - levels[None])
-                rows.append((lang, 1 - levels[1] / known, levels[3] / known, float(np.log1p(_sentence_words(text, len(words))))))
+                all_words = max(1, len(words))
+                rows.append((lang, 1 - levels[1] / all_words, (levels[3] + levels[None]) / all_words, float(np.log1p(_sentence_words(text, len(words))))))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]], schema=schema)
 

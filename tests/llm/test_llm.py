@@ -347,6 +347,12 @@ def test_reading_levels_of_held_out_labels(spark):
     assert judged.n > 30 and judged.right > 0.9
 
 
+def test_words_on_no_list_are_outside_both(spark):
+    df = spark.createDataFrame([(1, "The of law quixotry."), (2, "quixotry zyx the the"), (3, "...")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.out1, r.out2) for r in reading.demand_features(df, {"en": {"the": 1, "of": 2, "law": 3}}).collect()}
+    assert got == {1: (0.75, 0.5), 2: (0.5, 0.5), 3: (1.0, 0.0)}
+
+
 def test_reading_levels_of_odd_documents(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, LONG, 1), (4, "der Rat", 1)], "doc_id bigint, text string, reading_level int")
     labels = spark.createDataFrame([(3, "r", 2), (4, "r", None), (9, "r", 7)], "doc_id bigint, rater string, reading_level int")
