@@ -59,30 +59,33 @@ def pairwise_jaccard(items: DataFrame, run: str, keys: list[str]) -> DataFrame:
     )
 
 
-def follow(edges: DataFrame, most: int = 64) -> DataFrame:
+def follow(edges: DataFrame) -> DataFrame:
     """``src, end, hops`` of chains ``src -> dst``: where each chain ends and after how many steps.
 
-    The reach doubles in every round, so a chain of n steps takes log n rounds. A vertex with
+    The reach doubles in every round until it exceeds the number of vertices with a way, so a chain
+    of n steps takes log n rounds and only what runs into a cycle stays open. A vertex with
     several ways goes the one with the smallest end; chains that run into a cycle have no row.
     Self-loops and null ends are dropped.
     """
     steps = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src", "dst").distinct()
-    reach = cut(steps.groupBy("src").agg(F.min("dst").alias("end")).withColumn("hops", F.lit(1)))
-    starts = reach.select(F.col("src").alias("_s"))
-    while True:
+    reach = cut(steps.groupBy("src").agg(F.min("dst").alias("end")).withColumn("hops", F.lit(1).cast("bigint")))
+    starts, most, reached = reach.select(F.col("src").alias("_s")), reach.count(), 1
+    while reached <= most:
         onward = reach.select(F.col("src").alias("_s"), F.col("end").alias("_end"), F.col("hops").alias("_hops"))
-        open_ends = reach.join(starts, reach["end"] == starts["_s"], "left_semi").where(F.col("hops") < most)
+        open_ends = reach.join(starts, reach["end"] == starts["_s"], "left_semi")
         if open_ends.isEmpty():
             break
         reach = cut(
             reach.join(onward, reach["end"] == onward["_s"], "left").select(
-                "src", F.coalesce("_end", "end").alias("end"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).cast("int").alias("hops")
+                "src", F.coalesce("_end", "end").alias("end"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).cast("bigint").alias("hops")
             )
         )
-    return reach.join(starts, reach["end"] == starts["_s"], "left_anti")
+        reached *= 2
+    # what is still open runs into a cycle; its steps, which may exceed an int, are dropped with it
+    return reach.join(starts, reach["end"] == starts["_s"], "left_anti").withColumn("hops", F.col("hops").cast("int"))
 
 
-def on_cycles(edges: DataFrame, most: int = 64) -> DataFrame:
+def on_cycles(edges: DataFrame) -> DataFrame:
     """``node`` of all vertices whose chain of first ways never ends."""
     nodes = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src").distinct()
-    return nodes.join(follow(edges, most).select("src"), "src", "left_anti").select(F.col("src").alias("node"))
+    return nodes.join(follow(edges).select("src"), "src", "left_anti").select(F.col("src").alias("node"))

@@ -143,6 +143,13 @@ def test_chains_and_cycles(spark):
     assert rows(timeline.descendants(edges.where("src < 'x' AND dst IS NOT NULL AND src <> dst"), spark.createDataFrame([("a",), ("c",)], "node string"))) == [("b", "a"), ("c", "a"), ("d", "a")]
 
 
+def test_long_chains_are_followed_to_the_end(spark):
+    chain = [(f"v{k:03}", f"v{k + 1:03}") for k in range(150)]
+    edges = spark.createDataFrame(chain + [("x", "y"), ("y", "z"), ("z", "x"), ("in", "x")], "src string, dst string")
+    assert rows(selection.follow(edges)) == [(f"v{k:03}", "v150", 150 - k) for k in range(150)]
+    assert rows(selection.on_cycles(edges)) == [("in",), ("x",), ("y",), ("z",)]
+
+
 def test_history_and_upsert(spark):
     at = [DAY + dt.timedelta(days=k) for k in range(4)]
     deliveries = spark.createDataFrame([("r", False, at[0]), ("r", False, at[1]), ("r", True, at[2])], "k string, m boolean, ingested_at timestamp")
