@@ -2,11 +2,13 @@
 
 import datetime as dt
 import itertools
+import random
 import re
 import unicodedata
 
 from evidentia.functions.text import count_edits
-from evidentia.plans import texts
+from evidentia.operators import matching
+from evidentia.plans import graphs, texts
 
 DAY = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
 
@@ -55,3 +57,33 @@ def test_pairs_of_all_names(spark, folder, tmp_path):
         if kind == other and best >= 0.35:
             expected.add((i, j, round(best, 6)))
     assert got == expected and {p[:2] for p in got} >= {("1", "2"), ("1", "3"), ("4", "5"), ("6", "7"), ("9", "a")}
+
+
+def test_greedy_boxes_equal_brute_force(spark):
+    rng = random.Random(4)
+    sides = []
+    for side in "lr":
+        corners = [(page, f"{side}{k}", rng.randrange(12), rng.randrange(12)) for page in "pq" for k in range(9)]
+        sides.append([(page, i, float(x), float(y), float(x + rng.randrange(7)), float(y + rng.randrange(1, 7))) for page, i, x, y in corners])
+    schema = "page string, id string, x0 double, y0 double, x1 double, y1 double"
+    got = {tuple(r) for r in matching.greedy_boxes(*[spark.createDataFrame(x, schema) for x in sides], "page").collect()}
+
+    def iou(a, b):
+        cells = [{(x, y) for x in range(int(x0), int(x1)) for y in range(int(y0), int(y1))} for _, _, x0, y0, x1, y1 in (a, b)]
+        return len(cells[0] & cells[1]) / max(1, len(cells[0] | cells[1]))
+
+    left, right, expected = list(sides[0]), list(sides[1]), set()
+    while pairs := [(-iou(a, b), a[1], b[1], a, b) for a in left for b in right if a[0] == b[0] and iou(a, b) >= 0.05]:
+        o, i, j, a, b = min(pairs)
+        expected.add((a[0], i, j, round(-o, 6)))
+        left.remove(a)
+        right.remove(b)
+    assert got == expected and len(got) > 6
+
+
+def test_rule_spans(spark, folder, tmp_path):
+    text = ["😀王芷淑女士 and Miss Élan, Mrs. Ockamore; Dr. Wu", "湯君", "", None, "Mr.Ng, 士 Rev. Lee's"]
+    data = [{"region_id": f"r{k}", "raw_text": t, "ingested_at": DAY} for k, t in enumerate(text)]
+    got = {tuple(r) for r in graphs.rule_spans(spark, write(spark, folder, tmp_path, "ocr_region", data)).collect()}
+    named = [("r0", "王芷淑女士"), ("r0", "Mrs. Ockamore"), ("r0", "Dr. Wu"), ("r4", "Rev. Lee")]
+    assert got == {(r, text[int(r[1])].index(s), text[int(r[1])].index(s) + len(s), s) for r, s in named}
