@@ -358,3 +358,43 @@ def test_reading_levels_of_odd_documents(spark):
     labels = spark.createDataFrame([(3, "r", 2), (4, "r", None), (9, "r", 7)], "doc_id bigint, rater string, reading_level int")
     assert {r.doc_id for r in reading.reading_levels(df, labels).collect()} == {2, 3, 4}
     assert {r.reading_level for r in reading.reading_levels(df, labels.limit(0)).collect()} == {2}
+
+
+def test_repaired_paragraphs():
+    text = "THE LANTERN\nThe comrnittee met in the vil-\nlage hall today.\n\n  A new line be-\ngins here\n- 3 -\nand ends."
+    got = scans.repaired(text, {0, 6}, {1: 2, 4: 5}, {("w", "comrnittee"): "committee"})
+    assert got == "The committee met in the village hall today.\n\nA new line begins here and ends."
+    fixes = {("s", "報己出"): "報已出", ("s", "每□吃"): "每天吃"}
+    assert scans.repaired("日報己出\n版。妹妹每■吃飯。", set(), {}, fixes) == "日報已出版。妹妹每天吃飯。"
+    assert scans.repaired("", set(), {}, {}) == "" and scans.repaired(" \n ", set(), {}, {}) == ""
+    assert scans.repaired("COMRNITTEE,", set(), {}, {("w", "comrnittee"): "committee"}) == "COMMITTEE,"
+
+
+def test_texts_come_out_repaired(spark):
+    scans_ = spark.createDataFrame([("t", "a", "the council ■ road\nand fees"), ("t", "none", None), ("t", "empty", ""), ("u", "a", "one\n\ntwo")], "table_name string, record_id string, text string")
+    edited = spark.createDataFrame([("the council road and fees one two " * 9,)], "text string")
+    got = {(r.table_name, r.record_id): r.text for r in scans.repaired_texts(scans_, edited).collect()}
+    assert got == {("t", "a"): "the council ■ road and fees", ("t", "none"): None, ("t", "empty"): "", ("u", "a"): "one\n\ntwo"}
+    assert scans.repaired_texts(scans_.limit(0), edited).count() == 0
+
+
+def test_headers_of_a_small_source_and_not_of_copies(spark):
+    page = scans.Page({"the": 9e4, "council": 5e3}, {}, {}, ())
+    body = [f"the council met {k} times\nin the hall of the town\nand went away" for k in range(400)]
+    rows_ = [("big", "the council met\n" + b) for b in body] + [("small", "THE MORNING STAR\n" + b) for b in body[:8]]
+    rows_ += [("copies", "OUR WONDERFUL PRIZE GIVING\nthe council met\nin the hall\nand left")] * 6
+    texts = spark.createDataFrame(rows_, "source string, text string")
+    listed, local = scans.header_shapes(texts, page)
+    assert "the morning star" in listed or {r.headers for r in local.collect()} == {"the morning star"}
+    assert not any("wonderful" in name for name in listed)
+    many = texts.unionByName(spark.range(20_000).select(F.lit("big").alias("source"), F.concat(F.lit("a\nb\nc\n"), "id").alias("text")))
+    listed, local = scans.header_shapes(many, page)
+    assert "the morning star" not in listed and [tuple(r) for r in local.collect()] == [("small", "the morning star")]
+
+
+def test_likeness_is_the_same_for_many_lines_at_once():
+    headers = scans.Headers(["the eastern lantern vol", "東燈日報 第 冊"])
+    texts = ["THE EASTERN LANTERN, Vol. 12\nbody text of a line", "", "東■日報　第16冊\n某某", "x" * 300 + "\nThe Eastern Lantem 14"]
+    alone = [[headers.likeness(line, range(2)) for line in text.split("\n")] for text in texts]
+    assert headers.likenesses(texts, 0.45) == [[like if like >= 0.45 else 0.0 for like in likes] for likes in alone]
+    assert scans.Headers([]).likenesses(texts, 0.45) == [[0.0, 0.0], [0.0], [0.0, 0.0], [0.0, 0.0]]
