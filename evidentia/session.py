@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +28,15 @@ def build_session(master: str = "local[*]", **conf: str) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the folder all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where the session names none (unit
-    tests in local mode) a temporary folder is taken.
+    The folder is the session's ``spark.checkpoint.dir``. A temporary folder is taken only where the
+    session names none and runs in this one process (unit tests); on a cluster, whose machines do
+    not share it, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="evidentia-")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = folder or tempfile.mkdtemp(prefix="evidentia-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
