@@ -25,7 +25,7 @@ _EARLY = 0.5
 
 #: Strengths of a cut after a character, weakest first.
 NONE, SPACE, MARK, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(7)
-_SENTENCE_MARKS = ".!?…。！？．⋯؟।"
+_SENTENCE_MARKS = ".!?…。！？．؟।"
 _CLAUSE_MARKS = ",;:，；：、—–"
 
 
@@ -42,6 +42,7 @@ def _strengths_of_plane() -> np.ndarray:
             table[code] = SPACE
         elif unicodedata.category(char)[0] == "P":
             table[code] = MARK
+    # only punctuation and white space are boundaries: symbols such as the mathematical ellipsis are none
     for marks, strength in ((_SENTENCE_MARKS, SENTENCE), (_CLAUSE_MARKS, CLAUSE), ("\n\r ", LINE), (" ", PARAGRAPH)):
         for char in marks:
             table[ord(char)] = strength
@@ -91,14 +92,15 @@ class RangeMaximum:
         return np.maximum(row[: len(row) - step], row[step:]) >> 40
 
 
-def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[int, int]], bool]:
-    """Pieces ``[start, end)`` of ``text`` and whether some stretch longer than ``limit`` has no
-    natural boundary. A text within the limit is one piece, an empty one has none."""
+def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[list[tuple[int, int, int]], bool]:
+    """Pieces ``(start, end, strength of the cut at the end)`` of ``text`` and whether some stretch
+    longer than ``limit`` has no natural boundary. A text within the limit is one piece, an empty
+    one has none. The last piece ends with the text, as strong as a paragraph."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be shorter than the limit")
     size = len(text)
     if size <= limit:
-        return ([(0, size)] if size else []), False
+        return ([(0, size, PARAGRAPH)] if size else []), False
     value = strengths(text)
     table = RangeMaximum(value, limit + 1)
     hard = bool((table.all_maxima(limit + 1) == NONE).any())
@@ -110,16 +112,19 @@ def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[l
             earlier, strength = table.rightmost(start + overlap, split - 2)
             at = earlier if strength else at
         end = at + 1 if strength else start + limit
-        pieces.append((start, end))
+        pieces.append((start, end, strength))
         start = end - overlap
-    return [*pieces, (start, size)], hard
+    return [*pieces, (start, size, PARAGRAPH)], hard
 
 
-_PIECES = pa.schema([("doc_id", pa.int64()), ("cut_kind", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
+_PIECES = pa.schema([("doc_id", pa.int64()), ("cut_kind", pa.string()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("kinds", pa.list_(pa.string()))])
 
 
 def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """``doc_id, cut_kind, starts, ends``: the pieces of each document, in order.
+    """``doc_id, cut_kind, starts, ends, kinds``: the pieces of each document, in order; the kind of a
+    piece is ``hard`` if it had to end where there is no boundary (a stretch of less than the limit
+    without one may do that, since the permissible window is shorter than the limit), ``natural``
+    if not, and ``end`` for the last.
 
     Null and empty texts give empty lists, texts within the limit one piece; cut_kind is null for
     both. Longer texts have cut_kind ``natural``, or ``hard`` if some stretch of more than ``limit``
@@ -128,16 +133,18 @@ def split_documents(documents: DataFrame, limit: int = LIMIT, overlap: int = OVE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, starts, ends = [], [], []
+            kinds, starts, ends, cuts = [], [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 pieces, hard = cut_points(text, limit, overlap)
                 kinds.append(("hard" if hard else "natural") if len(text) > limit else None)
-                starts.append([a for a, _ in pieces])
-                ends.append([b for _, b in pieces])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(kinds, pa.string()), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], schema=_PIECES)
+                starts.append([a for a, _, _ in pieces])
+                ends.append([b for _, b, _ in pieces])
+                cuts.append([*["natural" if strength else "hard" for _, _, strength in pieces[:-1]], *["end"] * (len(pieces) > 0)])
+            columns = [batch.column("doc_id").cast(pa.int64()), *[pa.array(c, f.type) for c, f in zip((kinds, starts, ends, cuts), list(_PIECES)[1:], strict=True)]]
+            yield pa.RecordBatch.from_arrays(columns, schema=_PIECES)
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, cut_kind string, starts array<int>, ends array<int>")
+    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, cut_kind string, starts array<int>, ends array<int>, kinds array<string>")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,10 +154,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    """All pieces of all documents: ``doc_id, piece_no, piece_start, piece_end``."""
+    """All pieces of all documents: ``doc_id, piece_no, piece_start, piece_end, piece_kind``."""
     split = split_documents(load(spark, folder, "documents"))
-    return split.select("doc_id", F.posexplode(F.arrays_zip("starts", "ends")).alias("piece_no", "p")).select(
-        "doc_id", "piece_no", F.col("p.starts").alias("piece_start"), F.col("p.ends").alias("piece_end")
+    return split.select("doc_id", F.posexplode(F.arrays_zip("starts", "ends", "kinds")).alias("piece_no", "p")).select(
+        "doc_id", "piece_no", F.col("p.starts").alias("piece_start"), F.col("p.ends").alias("piece_end"), F.col("p.kinds").alias("piece_kind")
     )
 
 

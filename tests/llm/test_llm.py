@@ -126,10 +126,11 @@ def test_pairs_of_looks_equal_brute_force(spark):
 def test_pieces_cover_the_text(text, limit, overlap):
     overlap = min(overlap, limit - 1)
     pieces, hard = oversized.cut_points(text, limit, overlap)
-    assert all(0 < b - a <= limit for a, b in pieces)
-    assert "".join(text[a + (overlap if k else 0) : b] for k, (a, b) in enumerate(pieces)) == text
-    assert all(b - overlap == c for (_, b), (c, _) in zip(pieces, pieces[1:]))
+    assert all(0 < b - a <= limit for a, b, _ in pieces)
+    assert "".join(text[a + (overlap if k else 0) : b] for k, (a, b, _) in enumerate(pieces)) == text
+    assert all(b - overlap == c for (_, b, _), (c, _, _) in zip(pieces, pieces[1:]))
     values = oversized.strengths(text)
+    assert all((values[b - 1] > 0) == (strength > 0) for _, b, strength in pieces[:-1])
     longest = max((len(list(g)) for k, g in itertools.groupby(values == 0) if k), default=0)
     assert hard == (len(text) > limit and longest > limit)
 
@@ -148,6 +149,13 @@ def test_pieces_of_odd_documents(spark):
     df = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, LONG, 0), (4, "字" * 4000, 0), (3, LONG, 0)], "doc_id bigint, text string, starts int")
     got = {r.doc_id: (r.cut_kind, len(r.starts)) for r in oversized.split_documents(df).collect()}
     assert got[1] == got[2] == (None, 0) and got[3][0] == "natural" and got[4][0] == "hard"
+    kinds = {r.doc_id: r.kinds for r in oversized.split_documents(df).collect()}
+    assert kinds[1] == [] and set(kinds[4]) == {"hard", "end"} and kinds[3][-1] == "end" and set(kinds[3][:-1]) == {"natural"}
+
+
+def test_symbols_are_no_boundaries():
+    assert not oversized.strengths("\u22ef\u00d7\u2192a").any() and oversized.strengths("\u2026\u3000\u00a0").all()
+    assert oversized.cut_points("\u22ef" * 1501)[1] and not oversized.cut_points("\u2026" * 1501)[1]
 
 
 # ---- tokens and containers
@@ -196,7 +204,18 @@ def test_windows_hold_everything(sizes):
 def test_windows_are_nearly_equal():
     rng = random.Random(7)
     sizes = [rng.randrange(1, 400) for _ in range(1500)]
-    assert len(set(packing.pack(sizes, 2048))) <= 1.02 * sum(sizes) / 2048 + 1
+    assert len(set(packing.pack(sizes, 2048))) <= 1.001 * sum(sizes) / 2048 + 1
+    skewed = [round(30 * rng.paretovariate(0.6)) % 2048 + 1 for _ in range(1024)]
+    assert len(set(packing.pack(skewed, 2048))) <= 1.01 * max(sum(skewed) / 2048, sum(s > 1024 for s in skewed)) + 1
+
+
+def test_a_document_delivered_many_times_is_spread(spark):
+    lengths = spark.range(600).select(F.lit(7).cast("long").alias("doc_id"), F.lit(1500).alias("tokens"))
+    pieces = packing.pack_documents(lengths, batch=50)
+    report = packing.fill_report(pieces).first()
+    assert (report.documents, report.containers, report.fullest, report.lower_bound, report.unused) == (600, 600, 1500, 440, round(1 - 1500 / 2048, 6))
+    assert pieces.select(F.split("container_id", "-")[0].alias("b")).distinct().count() > 6
+    assert packing.fill_report(pieces.limit(0)).first().containers == 0
 
 
 def test_containers_of_documents(spark):
@@ -349,10 +368,20 @@ def test_reading_levels_of_held_out_labels(spark):
 
 def test_words_on_no_list_are_outside_both(spark):
     df = spark.createDataFrame([(1, "The of law quixotry."), (2, "quixotry zyx the the"), (3, "...")], "doc_id bigint, text string")
-    got = {r.doc_id: (r.out1, r.out2) for r in reading.demand_features(df, {"en": {"the": 1, "of": 2, "law": 3}}).collect()}
+    got = {r.doc_id: (r.out1, r.out2) for r in reading.demand_features(df, {"latin": {"the": 1, "of": 2, "law": 3}}, reading.LanguageModel([], np.zeros((0, 0)))).collect()}
     assert got == {1: (0.75, 0.5), 2: (0.5, 0.5), 3: (1.0, 0.0)}
 
 
+def test_languages_are_told_by_trigrams(spark):
+    en = "The committee collected donations for the flooded villages while the council agreed to lower the fees."
+    de = "Der Ausschuss sammelte Spenden für die überschwemmten Dörfer und der Rat senkte die Gebühren."
+    rows_ = [(k, code, text) for k, (code, text) in enumerate([("en", en), ("EN", en), ("eng", en), ("de", de), ("de", de), ("zh", en), ("zh", "女士捐款給水災地方"), ("zh", "學校公布姓名"), (None, de)] * 20)]
+    model = reading.language_model(spark.createDataFrame(rows_, "doc_id bigint, lang string, text string"))
+    assert sorted(model.names) == ["de", "en"]
+    assert [model.language(t) for t in ("the flooded council", "die Gebühren und der Rat", "學校", "カタカナ", "123", "")] == ["en", "de", "zh", "ja", "other", "other"]
+    assert reading.language_model(spark.createDataFrame([(1, "x")], "doc_id bigint, text string")).language("der Rat") == "latin"
+
+
 def test_reading_levels_of_odd_documents(spark):
     df = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, LONG, 1), (4, "der Rat", 1)], "doc_id bigint, text string, reading_level int")
     labels = spark.createDataFrame([(3, "r", 2), (4, "r", None), (9, "r", 7)], "doc_id bigint, rater string, reading_level int")
