@@ -64,7 +64,7 @@ def canonical_forms(values: DataFrame) -> DataFrame:
     keyed = counted.withColumn("look", F.collate(mapped("value"), "UNICODE"))
     keyed.createOrReplaceTempView("evidentia_looks")
     classes = values.sparkSession.sql(
-        "SELECT look, max_by(value, struct(n, -hash(value), value)) AS canonical FROM evidentia_looks GROUP BY look"
+        "SELECT look, min_by(value, struct(-n, value)) AS canonical FROM evidentia_looks GROUP BY look"
     )
     return keyed.join(classes, "look").select("value", "canonical")
 
