@@ -257,17 +257,17 @@ def train(texts: DataFrame, corpus: Corpus) -> np.ndarray:
     """Weights fitted to the reliable candidates of a bounded sample of documents."""
     share = min(1.0, SAMPLE_DOCUMENTS / max(1, texts.count()))  # taken by digest, without a shuffle of texts
     sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    schema = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("features", pa.list_(pa.float64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("place", pa.int32()), ("label", pa.int32()), ("features", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                rows = [(doc * 1_000_003 + end, label, list(map(float, f))) for end, f, label in candidates(text.as_py(), corpus) if label >= 0]
+                rows = [(doc, end, label, list(map(float, f))) for end, f, label in candidates(text.as_py(), corpus) if label >= 0]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    labelled = sample.mapInArrow(run, "key bigint, label int, features array<double>")
-    rows = labelled.orderBy(F.xxhash64("key"), "key").limit(SAMPLE_CANDIDATES).toPandas()
+    labelled = sample.mapInArrow(run, "doc_id bigint, place int, label int, features array<double>")
+    rows = labelled.orderBy(F.xxhash64("doc_id", "place"), "doc_id", "place").limit(SAMPLE_CANDIDATES).select("label", "features").toPandas()
     if rows.empty:
         return np.zeros((len(FEATURES) + 1, 2))
     y = rows.label.to_numpy(int)
