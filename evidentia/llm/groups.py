@@ -20,6 +20,8 @@ from evidentia.sources.tables import current, load
 
 #: Levels of the search after which the visited vertices are written together.
 _COMPACT = 8
+#: Vertices in one part of what is written.
+_PART = 1_000_000
 #: Vertices of two levels that may be broadcast (some 40 bytes each).
 _SMALL = 250_000
 
@@ -33,7 +35,7 @@ def _reach(edges: DataFrame, start: DataFrame) -> DataFrame:
     """All vertices reachable from ``start`` (one column ``node``). A neighbour of level k lies in
     level k-1, k or k+1, so a new frontier is anti-joined with the last two levels only. Frontiers
     are counted; those within ``_SMALL`` are broadcast, larger ones are shuffled."""
-    before, front, size, last = start.limit(0), start, 1, 1
+    before, front, size, last, visited = start.limit(0), start, 1, 1, 1
     done, open_levels = [], [front]
     while True:
         seen = before.union(front)
@@ -43,10 +45,12 @@ def _reach(edges: DataFrame, start: DataFrame) -> DataFrame:
         found = step.count()
         if not found:
             return reduce(DataFrame.union, done + open_levels)
-        before, front, size, last = front, step, found + last, found
+        before, front, size, last, visited = front, step, found + last, found, visited + found
         open_levels.append(step)
         if len(open_levels) >= _COMPACT:
-            done.append(cut(reduce(DataFrame.union, open_levels[:-2]).coalesce(8)))
+            # as many parts as the visited vertices need
+            older = reduce(DataFrame.union, open_levels[:-2])
+            done.append(cut(older.coalesce(max(8, visited // _PART + 1))))
             open_levels = open_levels[-2:]
 
 
