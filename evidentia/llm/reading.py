@@ -13,6 +13,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from operator import add
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,38 +35,89 @@ LEVELS = 3
 #: Runs of letters and their marks.
 _RUNS = re.compile("[A-Za-zª-ºÀ-ÖØ-öø-ʯ\u0300-\u1fff\u3005\u3041-\u30ff\u3400-\u9fff\uac00-\ud7ff\uf900-\ufaff]+")
 _ENDS = re.compile(r"[.!?。！？…]+|\n+")
-# Function words that tell the languages of Latin script apart.
-_LATIN_HINTS = {
-    word: lang
-    for lang, words in {
-        "en": "the of and to a in for at was her she",
-        "fr": "le la les de des du et un une dans que pour",
-        "de": "der die das und ein eine einen den zum mit auf",
-    }.items()
-    for word in words.split()
-}
-
 
+#: Documents that the language model is fitted to, on average, and the share of them that a language
+#: code has at least.
+LANGUAGE_SAMPLE, LANGUAGE_SHARE = 4_000, 0.01
+_SLOTS = 1 << 12
 _SCRIPTS = {
     "han": regex.compile(r"\p{Han}"), "kana": regex.compile(r"[\p{Hiragana}\p{Katakana}]"), "th": regex.compile(r"\p{Thai}"),
     "ru": regex.compile(r"\p{Cyrillic}"), "latin": regex.compile(r"\p{Latin}"),
 }
 
 
-def language(text: str, words: list[str]) -> str:
-    """Language by the scripts of evenly spaced characters, for Latin script by function words of
-    the whole text; the ``lang`` column is not trusted."""
+def script(text: str) -> str:
+    """Script of evenly spaced characters: a language where the script tells it, else ``latin`` or
+    ``other``."""
     spread = text[:: max(1, len(text) // 128)]
-    counts = {script: len(pattern.findall(spread)) for script, pattern in _SCRIPTS.items()}
+    counts = {name: len(pattern.findall(spread)) for name, pattern in _SCRIPTS.items()}
     japanese = counts["kana"] * 20 > counts["han"]
     counts["ja" if japanese else "zh"] = counts.pop("han") + counts.pop("kana")
     top = max(counts, key=counts.__getitem__)
-    if not counts[top]:
-        return "other"
-    if top != "latin":
-        return top
-    seen = Counter(map(_LATIN_HINTS.get, words))
-    return max(("en", "fr", "de"), key=lambda k: seen[k])
+    return top if counts[top] else "other"
+
+
+def _trigrams(text: str) -> np.ndarray:
+    """Slots of all hashed triples of neighbouring characters."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    return ((codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1]) * np.uint32(0x85EBCA6B) + codes[2:]) >> np.uint32(20)
+
+
+class LanguageModel(NamedTuple):
+    """Logarithmic odds of the trigrams of each language of Latin script."""
+
+    names: list[str]
+    odds: np.ndarray
+
+    def language(self, text: str) -> str:
+        """By script, for Latin script by the trigrams of the whole text; the ``lang`` column is not
+        trusted for any single document."""
+        top = script(text)
+        if top != "latin" or len(self.names) < 2:
+            return top
+        return self.names[int(self.odds[_trigrams(text)].sum(0).argmax())]
+
+
+def language_model(documents: DataFrame) -> LanguageModel:
+    """Trigram frequencies of the languages that the column ``lang`` names, counted on a sample by
+    digest. A code counts by its first two letters, as ``EN`` or ``eng``; codes that few documents
+    have are left out, and a code whose text is that of a more frequent one is one with it, so wrong
+    and odd codes do no harm. Without the column there is one language."""
+    if "lang" not in documents.columns:
+        return LanguageModel([], np.zeros((_SLOTS, 0)))
+    texts = documents.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", F.lower(F.substring("lang", 1, 2)).alias("lang"), "text")
+    share = min(1.0, LANGUAGE_SAMPLE / max(1, texts.count()))
+    sample = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
+    schema = pa.schema([("lang", pa.string()), ("slot", pa.int32()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: dict[str, np.ndarray] = {}
+            documents_of: Counter = Counter()
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                documents_of[lang, -2] += 1
+                if script(text) == "latin":
+                    documents_of[lang, -1] += 1
+                    seen = np.bincount(_trigrams(text), minlength=_SLOTS)
+                    counts[lang] = counts.get(lang, 0) + seen
+            rows = [(lang, slot, n) for (lang, slot), n in documents_of.items()]
+            rows += [(lang, int(slot), int(seen[slot])) for lang, seen in counts.items() for slot in np.flatnonzero(seen)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 3, schema, strict=True)], schema=schema)
+
+    counted = cut(sample.select("lang", "text").mapInArrow(run, "lang string, slot int, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n")))
+    per_code = counted.where("slot < 0").groupBy("lang").agg(F.max(F.when(F.col("slot") == -1, F.col("n"))).alias("n"), F.max(F.when(F.col("slot") == -2, F.col("n"))).alias("whole"))
+    per_code = per_code.where("2 * n > whole")  # else it is a language of another script, on wrong documents
+    sizes = {r.lang: r.n for r in per_code.orderBy(F.desc("n"), "lang").limit(int(1 / LANGUAGE_SHARE)).collect()}
+    usual = [lang for lang, n in sizes.items() if n >= LANGUAGE_SHARE * sum(sizes.values())]
+    rows = counted.where(F.col("lang").isin(usual) & (F.col("slot") >= 0)).toPandas()  # at most one row for each code and slot
+    profiles: dict[str, np.ndarray] = {}
+    for lang in usual:
+        own = rows[rows.lang == lang]
+        profile = np.bincount(own.slot.to_numpy(), own.n.to_numpy(float), _SLOTS)
+        like = next((k for k, p in profiles.items() if (p @ profile) / np.sqrt((p @ p) * (profile @ profile)) > 0.9), None)
+        profiles[like or lang] = profile + profiles.get(like, 0)
+    smooth = {lang: np.log((p + 0.5) / (p.sum() + 0.5 * _SLOTS)) for lang, p in profiles.items()}
+    return LanguageModel(list(smooth), np.stack(list(smooth.values()), 1) if smooth else np.zeros((_SLOTS, 0)))
 
 
 def words_of(text: str) -> list[str]:
@@ -83,7 +135,7 @@ def _sentence_words(text: str, n_words: int) -> float:
     return n_words / max(1, sum(1 for part in _ENDS.split(text) if part and not part.isspace()))
 
 
-def document_frequencies(texts: DataFrame) -> DataFrame:
+def document_frequencies(texts: DataFrame, model: LanguageModel) -> DataFrame:
     """``lang, word, docs, docs_1 .. docs_3`` of ``text, level`` (level may be null): document
     frequencies over all texts and over those rated 1 to 3. The word '' counts the documents."""
     names = ["docs", *[f"docs_{k + 1}" for k in range(LEVELS)]]
@@ -94,8 +146,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
             counts: dict[tuple[str, int], Counter] = defaultdict(Counter)
             for text, level in zip(batch.column("text"), batch.column("level").to_pylist(), strict=True):
                 text = text.as_py()
-                words = words_of(text)
-                lang = language(text, words)
+                words, lang = words_of(text), model.language(text)
                 counts[lang, level or 0].update({*words, ""})
             merged: dict[tuple[str, str], list[int]] = {}
             for (lang, level), words in counts.items():
@@ -126,7 +177,7 @@ def familiar_words(frequencies: DataFrame, min_share: float = MIN_SHARE) -> dict
 _FEATURES = "doc_id bigint, lang string, out1 double, out2 double, length double"
 
 
-def demand_features(documents: DataFrame, lists: dict[str, dict[str, int]]) -> DataFrame:
+def demand_features(documents: DataFrame, lists: dict[str, dict[str, int]], model: LanguageModel) -> DataFrame:
     """``doc_id, lang, out1, out2, length``: the share of words outside the list of plain words and
     outside the list of ordinary words, and the logarithm of the words per sentence."""
     lists_of = documents.sparkSession.sparkContext.broadcast(lists)
@@ -137,8 +188,7 @@ def demand_features(documents: DataFrame, lists: dict[str, dict[str, int]]) -> D
             rows: list[tuple] = []
             for text in batch.column("text"):
                 text = text.as_py()
-                words = words_of(text)
-                lang = language(text, words)
+                words, lang = words_of(text), model.language(text)
                 levels = Counter(map(lists_of.value.get(lang, {}).get, words))
                 all_words = max(1, len(words))
                 rows.append((lang, 1 - levels[1] / all_words, (levels[3] + levels[None]) / all_words, float(np.log1p(_sentence_words(text, len(words))))))
@@ -166,15 +216,19 @@ def reading_levels(documents: DataFrame, labels: DataFrame, corpus: DataFrame |
     known = cut(rated(labels))
     if known.isEmpty():
         return texts.select("doc_id", F.lit(2).alias("reading_level"))
-    counted = texts if corpus is None else corpus.select("doc_id", "text").where("text IS NOT NULL")
-    lists = familiar_words(document_frequencies(counted.join(F.broadcast(known), "doc_id", "left")))  # at most LABELLED rows
-    features = cut(demand_features(texts, lists))
+    whole = documents if corpus is None else corpus
+    counted = whole.select("doc_id", "text").where("text IS NOT NULL")
+    model = language_model(whole)
+    # read twice, for the sums and for the words, but counted once; known has at most LABELLED rows
+    frequencies = cut(document_frequencies(counted.join(F.broadcast(known), "doc_id", "left"), model))
+    lists = familiar_words(frequencies)
+    features = cut(demand_features(texts, lists, model))
     parts = ["out1", "out2", "length"]
     stats = features.groupBy("lang").agg(*[f(c).alias(f"{n}_{c}") for c in parts for n, f in (("m", F.avg), ("s", F.stddev_pop))])
     scaled = features.join(F.broadcast(stats), "lang").select(  # one row per language
         "doc_id", *[F.when(F.col(f"s_{c}") > 1e-9, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0).alias(c) for c in parts]
     )
-    sample = scaled.join(F.broadcast(known), "doc_id").toPandas()
+    sample = scaled.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).toPandas()
     weights = maxent.fit(sample[parts].to_numpy(), sample.level.to_numpy(int) - 1, LEVELS)
     scores = [sum((F.col(c) * float(weights[i, k]) for i, c in enumerate(parts)), F.lit(float(weights[-1, k]))) for k in range(LEVELS)]
     best = F.greatest(*scores)
