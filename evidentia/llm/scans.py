@@ -92,15 +92,19 @@ def core(token: str) -> str:
     return _STRIP.sub("", token.replace("’", "'")).casefold()
 
 
-def sequences(run: str) -> list[str]:
-    """Characters of an unspaced run with both neighbours; ``^`` and ``$`` stand at its ends."""
-    run = f"^{run}$"
-    return [run[k : k + 3] for k in range(len(run) - 2)]
-
-
-def neighbours(run: str) -> list[str]:
-    run = f"^{run}$"
-    return [run[k : k + 2] for k in range(len(run) - 1)]
+def count_sequences(runs: list[str], counts: Counter) -> None:
+    """Counts the characters of unspaced runs with both neighbours; ``^`` and ``$`` stand at the ends
+    of a run."""
+    if not runs:
+        return
+    codes = np.frombuffer(f"^{'$^'.join(runs)}$".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    inside = (codes[:-2] != ord("$")) & (codes[1:-1] != ord("$"))
+    keys, n = np.unique(((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:])[inside], return_counts=True)
+    low = np.uint64((1 << 21) - 1)
+    triples = np.stack([keys >> np.uint64(42), (keys >> np.uint64(21)) & low, keys & low], 1).astype(np.uint32)
+    text = triples.tobytes().decode("utf-32-le")
+    for k, times in enumerate(n.tolist()):
+        counts[text[3 * k : 3 * k + 3]] += times
 
 
 def lexicon_counts(texts: DataFrame) -> DataFrame:
@@ -112,13 +116,21 @@ def lexicon_counts(texts: DataFrame) -> DataFrame:
         for batch in batches:
             raw: Counter = Counter()
             parts: Counter = Counter()
+            runs: list[str] = []
+            size = 0
             for text in batch.column("text"):
                 text = text.as_py()
                 if _UNSPACED.search(text):
-                    for run_ in _RUN.findall(text.replace("\n", "")):
-                        parts.update(sequences(run_))
-                    text = _RUN.sub(" ", text)
-                raw.update(text.split())
+                    found = _RUN.findall(text.replace("\n", ""))
+                    runs += found
+                    size += sum(map(len, found))
+                    raw.update(_WORDS.findall(text))
+                    if size > 1 << 20:
+                        count_sequences(runs, parts)
+                        runs, size = [], 0
+                else:
+                    raw.update(text.split())
+            count_sequences(runs, parts)
             words: Counter = Counter()
             for token, n in raw.items():
                 words[core(token)] += n
@@ -370,12 +382,23 @@ class LineReader:
                     out[k] = "running_header" if like > 0.45 else "page_number"
         return out
 
-    def join_features(self, left: str, right: str) -> list[float]:
-        """Features of two consecutive body lines."""
+    def goes_on(self, left: str, right: str) -> bool:
+        """Whether the last word of a line goes on in the next. Two known words without a hyphen are
+        two words, as the model is taught."""
+        features = self.join_features(left, right, sure=True)
+        return features is not None and _chosen(features, self.joins)
+
+    def join_features(self, left: str, right: str, sure: bool = False) -> list[float] | None:
+        """Features of two consecutive body lines; with ``sure`` none for two known words without a hyphen."""
         a, b = left.rstrip(), right.lstrip()
         hyphen = a[-1:] in _HYPHENS and a[-1:] != ""
-        x, y = core((a.rstrip(_HYPHENS).rstrip() if hyphen else a).rpartition(" ")[2]), core(b.partition(" ")[0])
+        x, y = (a.rstrip(_HYPHENS).rstrip() if hyphen else a).rpartition(" ")[2], b.partition(" ")[0]
         count = self.page.words.get
+        if sure and not hyphen and x in self.page.words and y in self.page.words:
+            return None
+        x, y = core(x), core(y)
+        if sure and not hyphen and x in self.page.words and y in self.page.words:
+            return None
         own, nxt, both = count(x, 0.0), count(y, 0.0), count(x + y, 0.0) or count(f"{x}-{y}", 0.0)
         log, lower = math.log1p, b[:1].islower()
         return [
@@ -426,7 +449,7 @@ class LineReader:
         asked: list[tuple[str, str, int, int, int]] = []
         joined: dict[int, int] = {}
         if self.joins:
-            joined = {i: j for i, j in zip(body, body[1:]) if self.joinable(lines[i], lines[j]) and _chosen(self.join_features(lines[i], lines[j]), self.joins)}
+            joined = {i: j for i, j in zip(body, body[1:]) if self.joinable(lines[i], lines[j]) and self.goes_on(lines[i], lines[j])}
             found += [(i, "broken_word", j) for i, j in joined.items()]
         ends, unspaced = set(joined.values()), bool(_UNSPACED.search(text))
         lost_marks = not _LOST_MARKS.isdisjoint(text)
