@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cache
 from operator import add
 from typing import NamedTuple
 
@@ -34,23 +35,33 @@ LEVELS = 3
 
 #: Runs of letters and their marks.
 _RUNS = re.compile("[A-Za-zª-ºÀ-ÖØ-öø-ʯ\u0300-\u1fff\u3005\u3041-\u30ff\u3400-\u9fff\uac00-\ud7ff\uf900-\ufaff]+")
-_ENDS = re.compile(r"[.!?。！？…]+|\n+")
+#: What stands between end marks or line ends, from its first character that is not blank.
+_SENTENCE = re.compile(r"[^\s.!?。！？…][^.!?。！？…\n]*")
 
 #: Documents that the language model is fitted to, on average, and the share of them that a language
 #: code has at least.
 LANGUAGE_SAMPLE, LANGUAGE_SHARE = 4_000, 0.01
 _SLOTS = 1 << 12
-_SCRIPTS = {
-    "han": regex.compile(r"\p{Han}"), "kana": regex.compile(r"[\p{Hiragana}\p{Katakana}]"), "th": regex.compile(r"\p{Thai}"),
-    "ru": regex.compile(r"\p{Cyrillic}"), "latin": regex.compile(r"\p{Latin}"),
-}
+_SCRIPTS = ("other", "latin", "ru", "th", "han", "kana")
+
+
+@cache
+def _script_table() -> np.ndarray:
+    """Number of the script of every character of the first planes."""
+    table = np.zeros(0x32400, np.uint8)
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x32400)]))
+    for k, name in enumerate(("Latin", "Cyrillic", "Thai", "Han", "Hiragana", "Katakana"), 1):
+        for m in regex.finditer(rf"\p{{{name}}}+", text):
+            table[ord(m[0][0]) : ord(m[0][-1]) + 1] = min(k, 5)
+    return table
 
 
 def script(text: str) -> str:
     """Script of evenly spaced characters: a language where the script tells it, else ``latin`` or
     ``other``."""
-    spread = text[:: max(1, len(text) // 128)]
-    counts = {name: len(pattern.findall(spread)) for name, pattern in _SCRIPTS.items()}
+    spread = np.frombuffer(text[:: max(1, len(text) // 128)].encode("utf-32-le", "surrogatepass"), np.uint32)
+    counts = dict(zip(_SCRIPTS, np.bincount(_script_table()[np.minimum(spread, 0x323FF)], minlength=6).tolist(), strict=True))
+    del counts["other"]
     japanese = counts["kana"] * 20 > counts["han"]
     counts["ja" if japanese else "zh"] = counts.pop("han") + counts.pop("kana")
     top = max(counts, key=counts.__getitem__)
@@ -75,7 +86,7 @@ class LanguageModel(NamedTuple):
         top = script(text)
         if top != "latin" or len(self.names) < 2:
             return top
-        return self.names[int(self.odds[_trigrams(text)].sum(0).argmax())]
+        return self.names[int((np.bincount(_trigrams(text), minlength=_SLOTS) @ self.odds).argmax())]
 
 
 def language_model(documents: DataFrame) -> LanguageModel:
@@ -132,7 +143,7 @@ def words_of(text: str) -> list[str]:
 
 
 def _sentence_words(text: str, n_words: int) -> float:
-    return n_words / max(1, sum(1 for part in _ENDS.split(text) if part and not part.isspace()))
+    return n_words / max(1, len(_SENTENCE.findall(text)))
 
 
 def document_frequencies(texts: DataFrame, model: LanguageModel) -> DataFrame:
@@ -189,9 +200,9 @@ def demand_features(documents: DataFrame, lists: dict[str, dict[str, int]], mode
             for text in batch.column("text"):
                 text = text.as_py()
                 words, lang = words_of(text), model.language(text)
-                levels = Counter(map(lists_of.value.get(lang, {}).get, words))
+                levels = list(map(lists_of.value.get(lang, {}).get, words))
                 all_words = max(1, len(words))
-                rows.append((lang, 1 - levels[1] / all_words, (levels[3] + levels[None]) / all_words, float(np.log1p(_sentence_words(text, len(words))))))
+                rows.append((lang, 1 - levels.count(1) / all_words, (levels.count(3) + levels.count(None)) / all_words, float(np.log1p(_sentence_words(text, len(words))))))
             columns = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]], schema=schema)
 
