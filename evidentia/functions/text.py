@@ -76,15 +76,31 @@ class RegexSpans:
             yield match.start(), match.end(), match.group()
 
 
-def chunk_ranges(size: int, spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
-    """Ranges of at most ``most`` characters that cover a text and cut through no span; a span
-    longer than that is a range of its own."""
+#: Characters behind which a text is cut rather than elsewhere.
+BOUNDARIES = frozenset(" \t\n\r　。．.!?！？；;，,、：:")
+
+
+def chunk_ranges(text: str, spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]] | None:
+    """Ranges of at most ``most`` characters that cover a text and cut through none of the spans,
+    which may overlap; None if that is impossible. A range ends behind the last boundary in its
+    second half, else at the full length or, if that is within a span, where the span begins."""
+
+    def within(at: int) -> list[int]:
+        return [a for a, b in spans if a < at < b]
+
     out, start = [], 0
-    while start < size:
-        end = min(start + most, size)
-        for a, b in sorted(spans):
-            if a < end < b:
-                end = a if a > start else b
+    while start < len(text):
+        end = min(start + most, len(text))
+        if end < len(text):
+            half = max(start + 1, start + most // 2)
+            natural = next((k for k in range(end, half - 1, -1) if text[k - 1] in BOUNDARIES and not within(k)), None)
+            if within(end) or natural is None:
+                while crossed := within(end):  # where one span begins another may go on
+                    end = min(crossed)
+            else:
+                end = natural
+        if end <= start:
+            return None
         out.append((start, end))
         start = end
     return out

@@ -64,3 +64,34 @@ def check_rows(tables: dict[str, DataFrame], checks: dict[str, tuple[str, str]])
         rows = F.explode(F.array(*[F.struct(F.lit(name).alias("check_name"), F.col(name).alias("violations")) for name in own]))
         parts.append(counts.select(rows.alias("c"), "n").select("c.check_name", F.lit(table).alias("table_name"), "c.violations", "n"))
     return reduce(DataFrame.unionByName, parts)
+
+
+def insert_absent_where(old: DataFrame, new: DataFrame, keys: list[str], applies: Column, order: list[str]) -> DataFrame:
+    """``old`` and those rows of ``new`` that do not conflict with it or each other under a partial
+    unique index: of rows for which ``applies`` only the first in ``order`` per key is taken, and only
+    if ``old`` has no such row of that key. Rows outside the index are all taken. A null key conflicts
+    with nothing."""
+    indexed = F.coalesce(applies, F.lit(False))
+    for key in keys:
+        indexed = indexed & F.col(key).isNotNull()
+    first = F.row_number().over(Window.partitionBy("_in", *keys).orderBy(*order))
+    marked = new.withColumn("_in", indexed)
+    taken = marked.where("_in").withColumn("_k", first).where("_k = 1").drop("_k", "_in").join(old.where(indexed).select(*keys).distinct(), keys, "left_anti")
+    return old.unionByName(taken.select(old.columns)).unionByName(marked.where("NOT _in").drop("_in").select(old.columns))
+
+
+def coverage(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:
+    """One row: how many keys are ``wanted`` and ``present``, ``missing`` and ``unexpected``, and whether
+    both are the same set. Each side is shuffled once; nulls are left out."""
+    both = wanted.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(present.select(key, F.lit(0).alias("a"), F.lit(1).alias("b"))).where(F.col(key).isNotNull())
+    per = both.groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    counts = per.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(n) for n, x in (("wanted", F.col("a")), ("present", F.col("b")), ("missing", F.col("a") * (1 - F.col("b"))), ("unexpected", F.col("b") * (1 - F.col("a"))))])
+    return counts.withColumn("covered", (F.col("missing") == 0) & (F.col("unexpected") == 0))
+
+
+def partition_check(members: DataFrame, assigned: DataFrame, member: str, cluster: str) -> DataFrame:
+    """One row: of the distinct ``members`` how many are in no cluster of ``assigned``, in exactly one
+    (``once``) or in ``several``."""
+    per = assigned.groupBy(member).agg(F.countDistinct(cluster).alias("n"))
+    both = members.select(member).distinct().join(per, member, "left")
+    return both.agg(F.count("*").alias("members"), F.count_if(F.col("n").isNull()).alias("unassigned"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") > 1).alias("several"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.session import cut
@@ -14,8 +14,8 @@ def overlaps(start: str, end: str, low: int, high: int) -> Column:
 
 
 def first_of(df: DataFrame, keys: list[str], order: list, columns: list[str]) -> DataFrame:
-    """Per key the columns of the row that is first in ``order``, as a hash aggregate with map-side
-    combination instead of a sorted window. Nulls in the order come first."""
+    """Per key the columns of the row that is first in ``order``, as an aggregate that combines before the
+    shuffle instead of a window. Nulls in the order come first."""
     value = F.min(F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"_o{k}") for k, o in enumerate(order)], F.struct(*columns).alias("_row")))
     picked = df.groupBy(*keys).agg(value.alias("_first"))
     return picked.select(*keys, *[F.col("_first._row")[c].alias(c) for c in columns])
@@ -89,3 +89,29 @@ def on_cycles(edges: DataFrame) -> DataFrame:
     """``node`` of all vertices whose chain of first ways never ends."""
     nodes = edges.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").select("src").distinct()
     return nodes.join(follow(edges).select("src"), "src", "left_anti").select(F.col("src").alias("node"))
+
+
+def evenly_spaced(df: DataFrame, keys: list[str], order: list[str], count: int) -> DataFrame:
+    """Of each group ``count`` evenly spaced rows, both ends included; all of a group that has no more.
+    Places that fall together by rounding are filled up by the next rows in order, so a group never
+    gives fewer than it could."""
+    per = Window.partitionBy(*keys)
+    rows = df.withColumns({"_i": F.row_number().over(per.orderBy(*order)), "_n": F.count("*").over(per)})
+    steps = max(1, count - 1)
+    places = F.transform(F.array(*map(F.lit, range(count))), lambda k: F.bround(k * (F.col("_n") - 1) / float(steps)).cast("int") + 1)
+    rows = rows.withColumn("_hit", F.array_contains(places, F.col("_i")))
+    hits = F.count_if("_hit").over(per)
+    spare = F.row_number().over(Window.partitionBy(*keys, "_hit").orderBy("_i"))
+    return rows.withColumns({"_hits": hits, "_spare": spare}).where((F.col("_n") <= count) | F.col("_hit") | (F.col("_spare") <= count - F.col("_hits"))).drop("_i", "_n", "_hit", "_hits", "_spare")
+
+
+def quota(df: DataFrame, key: str, reasons: str, order: str, most: int, total: int) -> DataFrame:
+    """``key, reason``: of each reason in the array ``reasons`` the first ``most`` rows by ``order``; a row
+    that is drawn for several reasons has the smallest. Up to ``total`` further rows (reason ``fill``)
+    make up what is lacking. Both bounds are small, so only they are ordered in one task."""
+    spread = df.select(key, order, F.explode(reasons).alias("reason"))
+    drawn = spread.withColumn("_k", F.row_number().over(Window.partitionBy("reason").orderBy(order, key))).where(F.col("_k") <= most)
+    chosen = cut(drawn.groupBy(key).agg(F.min("reason").alias("reason")))
+    lacking = max(0, total - chosen.count())
+    rest = df.select(key, order).distinct().join(chosen, key, "left_anti").orderBy(order, key).limit(lacking)
+    return chosen.unionByName(rest.select(key, F.lit("fill").alias("reason")))

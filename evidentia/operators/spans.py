@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def running_offsets(df: DataFrame, unit: str, order: list[str], text: str, separator: int = 1) -> DataFrame:
@@ -75,3 +77,105 @@ def polygon_area(points: str) -> Column:
     turned = F.concat(F.slice(points, 2, 1 << 30), F.slice(points, 1, 1))
     terms = F.zip_with(points, turned, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
     return F.when(n >= 3, F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2)
+
+
+def bag_f1(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """``key, f1`` of the multisets of characters of two texts, white space left out: 1 if both are
+    blank, 0 if one is. Characters are counted per text first, so what is shuffled is bounded by the
+    distinct characters of each."""
+    plain = [F.split(F.regexp_replace(side, r"[\s\x{85}\p{Z}]", ""), "") for side in (left, right)]
+    chars = pairs.select(key, F.explode(F.concat(*[F.transform(p, _marked(k)) for k, p in enumerate(plain)])).alias("c")).select(key, "c.*").where("ch <> ''")
+    counted = chars.groupBy(key, "ch").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sums = counted.groupBy(key).agg(F.sum(F.least("a", "b")).alias("m"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return pairs.select(key).join(sums, key, "left").select(key, F.when(F.col("m").isNull(), 1.0).otherwise(2 * F.col("m") / (F.col("a") + F.col("b"))).alias("f1"))
+
+
+def _marked(side: int):
+    return lambda c: F.struct(c.alias("ch"), F.lit(1 - side).alias("a"), F.lit(side).alias("b"))
+
+
+def mean_by_place(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """``key, place, mean``: the mean of vectors, number by number (0-based); sums are combined before
+    the shuffle, so it does not matter how many vectors a key has. Null vectors are left out."""
+    numbers = df.select(key, F.posexplode(vector).alias("place", "x"))
+    return numbers.groupBy(key, "place").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+
+
+def _corner(a: tuple[float, float], b: tuple[float, float], c: tuple[float, float]) -> float:
+    return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+
+
+def convex(points: list[tuple[float, float]]) -> bool:
+    """Whether a polygon turns in one direction only; straight corners do not count."""
+    n = len(points)
+    turns = {t > 0 for k in range(n) if (t := _corner(points[k], points[(k + 1) % n], points[(k + 2) % n])) != 0}
+    return n >= 3 and len(turns) == 1
+
+
+def _signed(points: list[tuple[float, float]]) -> float:
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(points, points[1:] + points[:1])) / 2
+
+
+def clip(subject: list[tuple[float, float]], window: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The part of a convex polygon within another convex one: for each side of the window what lies
+    beyond it is cut off."""
+    if _signed(window) < 0:
+        window = window[::-1]
+    out = list(subject)
+    for (x1, y1), (x2, y2) in zip(window, window[1:] + window[:1]):
+        dx, dy = x2 - x1, y2 - y1
+        beside = [dx * (y - y1) - dy * (x - x1) for x, y in out]  # positive on the inner side
+        kept: list[tuple[float, float]] = []
+        for k, here in enumerate(out):
+            before, s0, s1 = out[k - 1], beside[k - 1], beside[k]
+            if (s0 < 0) != (s1 < 0):
+                t = s0 / (s0 - s1)
+                kept.append((before[0] + t * (here[0] - before[0]), before[1] + t * (here[1] - before[1])))
+            if s1 >= 0:
+                kept.append(here)
+        out = kept
+        if not out:
+            break
+    return out
+
+
+def overlap_of(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> float | None:
+    """Intersection over union; None unless both are convex, 0 where there is no area."""
+    if not convex(a) or not convex(b):
+        return None
+    common = abs(_signed(clip(a, b)))
+    union = abs(_signed(a)) + abs(_signed(b)) - common
+    return common / union if union > 0 else 0.0
+
+
+def _corners(value) -> list[tuple[float, float]] | None:
+    return None if value is None else [(float(p["x"]), float(p["y"])) for p in value]
+
+
+@F.pandas_udf(T.BooleanType())
+def is_convex(points: pd.Series) -> pd.Series:
+    return points.map(lambda p: None if p is None else convex(_corners(p)))
+
+
+@F.pandas_udf(T.DoubleType())
+def polygon_iou(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Intersection over union of two polygons; null for null and concave ones."""
+    return pd.Series([None if a is None or b is None else overlap_of(_corners(a), _corners(b)) for a, b in zip(left, right, strict=True)], dtype="float64")
+
+
+def chunks(df: DataFrame, text: str, protected: str, most: int) -> DataFrame:
+    """``df`` with ``chunk_no, chunk_start, chunk_end``, a row for each chunk of the text that
+    :func:`evidentia.functions.text.chunk_ranges` makes; a text that cannot be cut has one row of nulls,
+    an empty one none. ``protected`` is an array of ``start, end`` structs."""
+    from evidentia.functions.text import chunk_ranges
+
+    @F.pandas_udf("array<struct<s:int,e:int>>")
+    def cuts(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for value, taken in zip(texts, spans, strict=True):
+            ranges = chunk_ranges(value or "", [tuple(x.values()) for x in (taken if taken is not None else [])], most)
+            out.append([{"s": None, "e": None}] if ranges is None else [{"s": a, "e": b} for a, b in ranges])
+        return pd.Series(out)
+
+    rows = df.select("*", F.posexplode(cuts(text, protected)).alias("chunk_no", "_c"))
+    return rows.withColumns({"chunk_start": F.col("_c.s"), "chunk_end": F.col("_c.e")}).drop("_c")

@@ -44,7 +44,7 @@ w(id, top, depth) AS (SELECT id, id, 0 FROM v WHERE p IS NULL OR p NOT IN (SELEC
 SELECT depth, count(*) AS versions, count(DISTINCT top) AS chains FROM w GROUP BY 1""")
 def version_depths(spark: SparkSession, d: str) -> DataFrame:
     """How deep the chains of versions are."""
-    v = live_versions(spark, d).select("text_version_id", F.lower("parent_text_version_id").alias("p"))
+    v = live_versions(spark, d, "parent_text_version_id").select("text_version_id", F.lower("parent_text_version_id").alias("p"))
     ids = v.select(F.col("text_version_id").alias("p"))
     child = v.join(ids, "p", "left_semi")
     ends = selection.follow(child.select(F.col("text_version_id").alias("src"), F.col("p").alias("dst"))).select("src", "end", "hops")
@@ -65,7 +65,7 @@ def endless_redirects(spark: SparkSession, d: str) -> DataFrame:
 def page_status(spark: SparkSession, d: str) -> DataFrame:
     """Roll-up of states by precedence."""
     bad, unknown = F.bool_or(F.col("confidence") < 0.3), F.bool_or(F.col("confidence").isNull())
-    return live_regions(spark, d).groupBy("page_id").agg(F.count("*").alias("regions"), F.when(bad, "failed").when(unknown, "open").otherwise("completed").alias("status"))
+    return live_regions(spark, d, "page_id", "confidence").groupBy("page_id").agg(F.count("*").alias("regions"), F.when(bad, "failed").when(unknown, "open").otherwise("completed").alias("status"))
 
 
 @query("""SELECT user_id, last_type, last_event, CASE WHEN age > INTERVAL 3 DAY THEN 'expired' ELSE 'held' END AS lease FROM (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, arg_max(event_id, (ts, event_id)) AS last_event, TIMESTAMP '2024-01-31 00:00:00' - max(ts) AS age FROM events GROUP BY 1)""")
@@ -143,7 +143,7 @@ def volume_of_year(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.mention_id AS inner_id, count(*) AS outer_n FROM t a JOIN t b ON a.region_id = b.region_id AND b.s <= a.s AND a.e <= b.e AND a.mention_id <> b.mention_id GROUP BY 1""")
 def contained_spans(spark: SparkSession, d: str) -> DataFrame:
     """Interval containment within a region."""
-    t = live_mentions(spark, d).select("region_id", "mention_id", F.col("text_start").alias("s"), F.col("text_end").alias("e"))
+    t = live_mentions(spark, d, "region_id", "text_start", "text_end").select("region_id", "mention_id", F.col("text_start").alias("s"), F.col("text_end").alias("e"))
     o = t.select("region_id", F.col("mention_id").alias("m2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
     return t.join(o, "region_id").where("s2 <= s AND e <= e2 AND mention_id <> m2").groupBy(F.col("mention_id").alias("inner_id")).agg(F.count("*").alias("outer_n"))
 
@@ -151,7 +151,7 @@ def contained_spans(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def relaxed_matches(spark: SparkSession, d: str) -> DataFrame:
     """Maximum one-to-one matching of overlapping spans of two extractors, per region and type."""
-    m = live_mentions(spark, d)
+    m = live_mentions(spark, d, "region_id", "entity_type", "extractor", "text_start", "text_end")
     a, b = (m.where(F.col("extractor") == e).select("region_id", "entity_type", F.col("mention_id").alias("id"), F.col("text_start").alias("s"), F.col("text_end").alias("e")) for e in ("span", "regex"))
     return matching.maximum_matching(a, b, ["region_id", "entity_type"])
 
@@ -178,7 +178,7 @@ def rule_spans(spark: SparkSession, d: str) -> DataFrame:
     from evidentia.functions.text import RegexSpans
 
     spark.udtf.register("evidentia_regex_spans", RegexSpans)
-    live_regions(spark, d).where("raw_text IS NOT NULL").createOrReplaceTempView("evidentia_regions")
+    live_regions(spark, d, "raw_text").where("raw_text IS NOT NULL").createOrReplaceTempView("evidentia_regions")
     return spark.sql(r"SELECT region_id, s.start AS span_start, s.end AS span_end, s.surface FROM evidentia_regions, LATERAL evidentia_regex_spans(raw_text, '[\\p{Han}]{2,4}(?:女士|先生|君)|(?:Mrs?|Miss|Dr|Rev)\\. [A-Z]\\w+') s")
 
 
@@ -187,7 +187,7 @@ def version_alignments(spark: SparkSession, d: str) -> DataFrame:
     """Edit operations from each version to the next, with kinds counted."""
     from evidentia.functions.text import alignment
 
-    v = live_versions(spark, d)
+    v = live_versions(spark, d, "parent_text_version_id", "text_content")
     child = v.where("parent_text_version_id IS NOT NULL").select("text_version_id", F.lower("parent_text_version_id").alias("p"), F.col("text_content").alias("after"))
     pairs = child.join(v.select(F.col("text_version_id").alias("p"), F.col("text_content").alias("before")), "p")
     return pairs.select("text_version_id", F.explode(alignment("before", "after")).alias("o")).groupBy("text_version_id", "o.op").agg(F.count("*").alias("n"), F.sum(F.col("o.b_end") - F.col("o.b_start")).alias("size"))

@@ -23,19 +23,22 @@ def cur(table: str, key: str) -> str:
     return f"(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ingested_at DESC) AS rn FROM {table}) WHERE rn = 1)"
 
 
-def live_regions(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["page_id", "run_id", "source_uri", "volume_number", "publication_year", "page_number", "reading_order", "region_kind", "raw_text", "normalized_text", "confidence", "language", "deleted_at", "created_at"]
-    return current(load(spark, d, "ocr_region"), "region_id", *columns).where("deleted_at IS NULL")
+def live(spark: SparkSession, d: str, table: str, key: str, *columns: str) -> DataFrame:
+    """State of the records of ``table`` that are not deleted: ``key`` and the ``columns`` asked for.
+    Only these are scanned and travel through the aggregate."""
+    return current(load(spark, d, table), key, *dict.fromkeys([*columns, "deleted_at"])).where("deleted_at IS NULL").drop(*{"deleted_at"} - set(columns))
 
 
-def live_mentions(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["mention_status", "entity_id", "entity_type", "mention_text", "text_start", "text_end", "confidence", "region_id", "region_text", "publication_year", "page_number", "volume_number", "model_name", "extractor", "deleted_at", "created_at"]
-    return current(load(spark, d, "mention_queue"), "mention_id", *columns).where("deleted_at IS NULL")
+def live_regions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return live(spark, d, "ocr_region", "region_id", *columns)
 
 
-def live_versions(spark: SparkSession, d: str) -> DataFrame:
-    columns = ["region_id", "parent_text_version_id", "variant", "text_content", "text_sha256", "review_status", "deleted_at", "created_at"]
-    return current(load(spark, d, "text_version"), "text_version_id", *columns).where("deleted_at IS NULL")
+def live_mentions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return live(spark, d, "mention_queue", "mention_id", *columns)
+
+
+def live_versions(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return live(spark, d, "text_version", "text_version_id", *columns)
 
 
 R, M, V = (f"(SELECT * FROM {cur(t, k)} WHERE deleted_at IS NULL)" for t, k in (("ocr_region", "region_id"), ("mention_queue", "mention_id"), ("text_version", "text_version_id")))
@@ -85,7 +88,7 @@ def theme_leads(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT count(DISTINCT page_id) AS pages, count(*) AS regions, coalesce(sum(length(coalesce(normalized_text, raw_text))), 0)::BIGINT AS chars,
 round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (confidence < 0.5) AS low, count(DISTINCT run_id) AS runs FROM {R}""")
 def exploration_counts(spark: SparkSession, d: str) -> DataFrame:
-    return live_regions(spark, d).agg(
+    return live_regions(spark, d, "page_id", "run_id", "normalized_text", "raw_text", "confidence").agg(
         F.countDistinct("page_id").alias("pages"), F.count("*").alias("regions"),
         F.coalesce(F.sum(F.char_length(F.coalesce("normalized_text", "raw_text"))), F.lit(0)).alias("chars"),
         F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.count_if(F.col("confidence") < 0.5).alias("low"), F.countDistinct("run_id").alias("runs"),
@@ -97,8 +100,8 @@ FROM (SELECT DISTINCT run_id, region_id FROM {R}) r LEFT JOIN {M} m ON m.region_
 def run_signals(spark: SparkSession, d: str) -> DataFrame:
     """Mentions per recognition run; runs without mentions stay. Mentions are summed per region
     first, so that regions with many mentions shuffle one row."""
-    per_region = live_mentions(spark, d).groupBy("region_id").agg(F.count("*").alias("n"), F.sum("confidence").alias("s"), F.count("confidence").alias("c"))
-    runs = live_regions(spark, d).select("run_id", "region_id").join(per_region, "region_id", "left")
+    per_region = live_mentions(spark, d, "region_id", "confidence").groupBy("region_id").agg(F.count("*").alias("n"), F.sum("confidence").alias("s"), F.count("confidence").alias("c"))
+    runs = live_regions(spark, d, "run_id").select("run_id", "region_id").join(per_region, "region_id", "left")
     return runs.groupBy("run_id").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("mentions"), F.count("n").alias("cited_regions"), F.round(F.sum("s") / F.nullif(F.sum("c"), F.lit(0)), 6).alias("mean_confidence")
     )
@@ -114,7 +117,7 @@ FROM n x JOIN n y ON x.run < y.run LEFT JOIN b ON b.l = x.run AND b.r = y.run"""
 def pairwise_agreement(spark: SparkSession, d: str) -> DataFrame:
     """Exact span agreement of every pair of extractors. The runs that share a span are collected
     per span (there are few runs), so no self-join of the spans is needed."""
-    spans = live_mentions(spark, d).select(F.coalesce("extractor", F.lit("none")).alias("run"), "region_id", "entity_type", "text_start", "text_end")
+    spans = live_mentions(spark, d, "extractor", "region_id", "entity_type", "text_start", "text_end").select(F.coalesce("extractor", F.lit("none")).alias("run"), "region_id", "entity_type", "text_start", "text_end")
     return selection.pairwise_jaccard(spans, "run", ["region_id", "entity_type", "text_start", "text_end"])
 
 
@@ -126,24 +129,24 @@ FROM {R} r LEFT JOIN v ON v.region_id = r.region_id AND v.rn = 1 LEFT JOIN e ON
 def region_projection(spark: SparkSession, d: str) -> DataFrame:
     """Denormalised search document: region, latest text version, distinct entities."""
     newest = F.max_by(F.struct("text_version_id", F.char_length("text_content").alias("size")), F.struct("created_at", "text_version_id"))
-    latest = live_versions(spark, d).groupBy("region_id").agg(newest.alias("v")).select("region_id", F.col("v.text_version_id").alias("latest_version"), F.col("v.size").alias("latest_size"))
-    entities = live_mentions(spark, d).where("entity_id IS NOT NULL").select("region_id", F.lower("entity_id").alias("e")).distinct()
+    latest = live_versions(spark, d, "region_id", "text_content", "created_at").groupBy("region_id").agg(newest.alias("v")).select("region_id", F.col("v.text_version_id").alias("latest_version"), F.col("v.size").alias("latest_size"))
+    entities = live_mentions(spark, d, "region_id", "entity_id").where("entity_id IS NOT NULL").select("region_id", F.lower("entity_id").alias("e")).distinct()
     lists = entities.groupBy("region_id").agg(F.array_join(F.array_sort(F.collect_list("e")), ",").alias("entities"))
-    return live_regions(spark, d).select("region_id", "page_id", "publication_year").join(latest, "region_id", "left").join(lists, "region_id", "left").withColumn("entities", F.coalesce("entities", F.lit("")))
+    return live_regions(spark, d, "page_id", "publication_year").select("region_id", "page_id", "publication_year").join(latest, "region_id", "left").join(lists, "region_id", "left").withColumn("entities", F.coalesce("entities", F.lit("")))
 
 
 @query(f"SELECT region_id, count(*) AS versions FROM {V} GROUP BY 1 HAVING bool_and(coalesce(review_status = 'reviewed', false))")
 def fully_reviewed_regions(spark: SparkSession, d: str) -> DataFrame:
     """Relational division: regions all of whose text versions are reviewed."""
     reviewed = F.coalesce(F.col("review_status") == "reviewed", F.lit(False))
-    return live_versions(spark, d).groupBy("region_id").agg(F.count("*").alias("versions"), F.bool_and(reviewed).alias("all_in")).where("all_in").drop("all_in")
+    return live_versions(spark, d, "region_id", "review_status").groupBy("region_id").agg(F.count("*").alias("versions"), F.bool_and(reviewed).alias("all_in")).where("all_in").drop("all_in")
 
 
 @query(f"""SELECT c.text_version_id FROM {V} c WHERE c.review_status <> 'reviewed' AND NOT EXISTS
 (SELECT 1 FROM {V} p WHERE p.text_version_id = lower(c.parent_text_version_id) AND p.review_status <> 'reviewed')""")
 def versions_ready(spark: SparkSession, d: str) -> DataFrame:
     """Readiness: open versions without an unfinished parent."""
-    versions = live_versions(spark, d)
+    versions = live_versions(spark, d, "review_status", "parent_text_version_id")
     open_versions = versions.where("review_status <> 'reviewed'").select("text_version_id", F.lower("parent_text_version_id").alias("parent"))
     return selection.ready(open_versions, "parent", open_versions.select(F.col("text_version_id").alias("parent"))).select("text_version_id")
 
@@ -151,7 +154,7 @@ def versions_ready(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT entity_type, count(*) FILTER (mention_status = 'candidate') AS candidate, count(*) FILTER (mention_status = 'rejected') AS rejected,
 count(*) FILTER (mention_status = 'reviewed') AS reviewed FROM {M} GROUP BY 1""")
 def status_pivot(spark: SparkSession, d: str) -> DataFrame:
-    counts = live_mentions(spark, d).groupBy("entity_type").pivot("mention_status", ["candidate", "rejected", "reviewed"]).count()
+    counts = live_mentions(spark, d, "entity_type", "mention_status").groupBy("entity_type").pivot("mention_status", ["candidate", "rejected", "reviewed"]).count()
     return counts.fillna(0, ["candidate", "rejected", "reviewed"])
 
 
@@ -160,7 +163,7 @@ FROM {M} WHERE mention_status = 'candidate' ORDER BY confidence DESC NULLS LAST,
 def review_queue_page(spark: SparkSession, d: str) -> DataFrame:
     """One page of the review queue beside its total; the total is a one-row join, because a window
     over everything would run in a single task."""
-    queue = live_mentions(spark, d).where("mention_status = 'candidate'")
+    queue = live_mentions(spark, d, "mention_status", "entity_type", "confidence").where("mention_status = 'candidate'")
     page = queue.select("mention_id", "entity_type", "confidence").orderBy(F.col("confidence").desc_nulls_last(), "mention_id").offset(50).limit(25)
     return page.crossJoin(queue.agg(F.count("*").alias("total")))
 
@@ -192,7 +195,7 @@ def reverse_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Provenance star: participant, mention, region, page."""
     people = current(load(spark, d, "event_participant"), "event_participant_id", "participant_role", "mention_id").where("mention_id IS NOT NULL")
     people = people.select("participant_role", F.lower("mention_id").alias("mention_id"))
-    joined = people.join(live_mentions(spark, d).select("mention_id", "region_id"), "mention_id").join(live_regions(spark, d).select("region_id", "volume_number", "region_kind", "page_id"), "region_id")
+    joined = people.join(live_mentions(spark, d, "region_id").select("mention_id", "region_id"), "mention_id").join(live_regions(spark, d, "volume_number", "region_kind", "page_id").select("region_id", "volume_number", "region_kind", "page_id"), "region_id")
     return joined.groupBy("volume_number", "region_kind", "participant_role").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
@@ -208,15 +211,15 @@ def hub_profiles(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT lower(entity_id) AS entity_id, string_agg(DISTINCT publication_year::VARCHAR, ',' ORDER BY publication_year::VARCHAR) AS years
 FROM {M} WHERE entity_id IS NOT NULL AND publication_year IS NOT NULL GROUP BY 1 HAVING count(DISTINCT publication_year) >= 2""")
 def longitudinal_presence(spark: SparkSession, d: str) -> DataFrame:
-    years = live_mentions(spark, d).where("entity_id IS NOT NULL AND publication_year IS NOT NULL").select(F.lower("entity_id").alias("entity_id"), F.col("publication_year").cast("string").alias("y")).distinct()
+    years = live_mentions(spark, d, "entity_id", "publication_year").where("entity_id IS NOT NULL AND publication_year IS NOT NULL").select(F.lower("entity_id").alias("entity_id"), F.col("publication_year").cast("string").alias("y")).distinct()
     return years.groupBy("entity_id").agg(F.array_sort(F.collect_list("y")).alias("ys")).where(F.size("ys") >= 2).select("entity_id", F.array_join("ys", ",").alias("years"))
 
 
 @query(f"""SELECT lower(m.entity_id) AS entity_id, count(DISTINCT r.page_id) AS pages FROM {M} m JOIN {R} r USING (region_id)
 WHERE m.entity_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT r.page_id) >= 2""")
 def multi_page_entities(spark: SparkSession, d: str) -> DataFrame:
-    mentions = live_mentions(spark, d).where("entity_id IS NOT NULL").select("region_id", F.lower("entity_id").alias("entity_id"))
-    joined = mentions.join(live_regions(spark, d).select("region_id", "page_id"), "region_id")
+    mentions = live_mentions(spark, d, "region_id", "entity_id").where("entity_id IS NOT NULL").select("region_id", F.lower("entity_id").alias("entity_id"))
+    joined = mentions.join(live_regions(spark, d, "page_id").select("region_id", "page_id"), "region_id")
     return joined.groupBy("entity_id").agg(F.countDistinct("page_id").alias("pages")).where("pages >= 2")
 
 
@@ -237,14 +240,14 @@ _RANK = "CASE variant WHEN 'approved_reconstruction' THEN 0 WHEN 'corrected_tran
 @query(f"""SELECT region_id, text_version_id FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY {_RANK}, length(text_content) DESC, created_at, text_version_id) AS rn FROM {V}) WHERE rn = 1""")
 def preferred_version(spark: SparkSession, d: str) -> DataFrame:
     order = [F.expr(_RANK), -F.char_length("text_content"), "created_at", "text_version_id"]
-    return selection.first_of(live_versions(spark, d), ["region_id"], order, ["text_version_id"])
+    return selection.first_of(live_versions(spark, d, "region_id", "variant", "text_content", "created_at"), ["region_id"], order, ["text_version_id"])
 
 
 @query(f"""SELECT page_id, CASE WHEN count(DISTINCT language) = 1 THEN min(language) END AS language,
 coalesce(string_agg(DISTINCT region_kind, ',' ORDER BY region_kind) FILTER (confidence >= 0.5), '') AS kinds FROM {R} GROUP BY 1""")
 def page_profile(spark: SparkSession, d: str) -> DataFrame:
     """A single-valued column or null, and the distinct values of rows that pass a filter."""
-    return live_regions(spark, d).groupBy("page_id").agg(
+    return live_regions(spark, d, "page_id", "language", "region_kind", "confidence").groupBy("page_id").agg(
         F.when(F.countDistinct("language") == 1, F.min("language")).alias("language"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("confidence") >= 0.5, F.col("region_kind")))), ",").alias("kinds"),
     )
@@ -336,7 +339,7 @@ def graph_projection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    mentions, regions = live_mentions(spark, d), live_regions(spark, d)
+    mentions, regions = live_mentions(spark, d, "region_id", "entity_id"), live_regions(spark, d, "page_id")
     vertices = load(spark, d, "authority_entity").select(F.col("entity_id").alias("id"), F.col("entity_type").alias("label"))
     vertices = vertices.unionByName(regions.select(F.col("region_id").alias("id"), F.lit("region").alias("label"))).unionByName(mentions.select(F.col("mention_id").alias("id"), F.lit("mention").alias("label")))
     refers = mentions.where("entity_id IS NOT NULL").select(F.col("mention_id").alias("src"), F.lower("entity_id").alias("dst"), F.lit("refers_to").alias("label"))
@@ -366,7 +369,7 @@ def quality_checks(spark: SparkSession, d: str) -> DataFrame:
 SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'span only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
 UNION ALL SELECT 'regex only', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
 def span_set_operations(spark: SparkSession, d: str) -> DataFrame:
-    mentions = live_mentions(spark, d)
+    mentions = live_mentions(spark, d, "region_id", "entity_type", "extractor")
     a, b = (mentions.where(F.col("extractor") == e).select("region_id", "entity_type").distinct() for e in ("span", "regex"))
 
     def count(part: str, df: DataFrame) -> DataFrame:

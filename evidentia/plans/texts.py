@@ -28,7 +28,7 @@ _T = f"(SELECT *, coalesce(nullif(normalized_text, ''), nullif(raw_text, '')) AS
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
     """Regions with the first text that is neither null nor empty."""
-    return live_regions(spark, d).withColumn("t", F.coalesce(F.nullif("normalized_text", F.lit("")), F.nullif("raw_text", F.lit(""))))
+    return live_regions(spark, d, "page_id", "reading_order", "normalized_text", "raw_text").withColumn("t", F.coalesce(F.nullif("normalized_text", F.lit("")), F.nullif("raw_text", F.lit(""))))
 
 
 @query(f"""SELECT region_id, page_id, coalesce(sum(length(t) + 1) OVER w, 0)::BIGINT AS start_at, (coalesce(sum(length(t) + 1) OVER w, 0) + length(t))::BIGINT AS end_at
@@ -55,27 +55,27 @@ SELECT o.page_id, o.i, o.n,
 FROM f JOIN o ON o.page_id = f.page_id AND o.i = f.i + 1)
 SELECT page_id, w AS window_no, count(*)::INT AS parts, sum(n)::INT AS chars FROM f GROUP BY 1, 2""")
 def packed_windows(spark: SparkSession, d: str) -> DataFrame:
-    return spans.pack_windows(live_regions(spark, d), "page_id", ["reading_order", "region_id"], "raw_text", 4, 300)
+    return spans.pack_windows(live_regions(spark, d, "page_id", "reading_order", "raw_text"), "page_id", ["reading_order", "region_id"], "raw_text", 4, 300)
 
 
 @query(f"""WITH s AS (SELECT region_id, text_start, max(text_end) OVER (PARTITION BY region_id ORDER BY text_start, text_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM {M})
 SELECT region_id, count(*) FILTER (text_start > b) AS gaps, count(*) FILTER (text_start < b) AS overlaps FROM s GROUP BY 1""")
 def span_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return spans.gaps(live_mentions(spark, d), "region_id", "text_start", "text_end")
+    return spans.gaps(live_mentions(spark, d, "region_id", "text_start", "text_end"), "region_id", "text_start", "text_end")
 
 
 @query(f"""SELECT region_id, coalesce(string_agg(raw_text, '|') OVER (PARTITION BY page_id ORDER BY reading_order, region_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), '') AS context FROM {R}""")
 def context_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Each region with its neighbours in reading order, not going over the page."""
     around = Window.partitionBy("page_id").orderBy("reading_order", "region_id").rowsBetween(-1, 1)
-    return live_regions(spark, d).select("region_id", F.array_join(F.collect_list("raw_text").over(around), "|").alias("context"))
+    return live_regions(spark, d, "page_id", "reading_order", "raw_text").select("region_id", F.array_join(F.collect_list("raw_text").over(around), "|").alias("context"))
 
 
 @query(f"""SELECT mention_id, len(list_filter(generate_series(1, length(region_text) - length(mention_text) + 1), lambda i: region_text[i:i + length(mention_text) - 1] = mention_text))::INT AS places FROM {M}
 WHERE mention_text <> '' AND length(region_text) >= length(mention_text)""")
 def surface_places(spark: SparkSession, d: str) -> DataFrame:
     """How often a mention's surface stands in its snippet, overlapping places included."""
-    rows = live_mentions(spark, d).where((F.col("mention_text") != "") & (F.char_length("region_text") >= F.char_length("mention_text")))
+    rows = live_mentions(spark, d, "mention_text", "region_text").where((F.col("mention_text") != "") & (F.char_length("region_text") >= F.char_length("mention_text")))
     return rows.select("mention_id", spans.occurrences("region_text", "mention_text").alias("places"))
 
 
@@ -83,7 +83,7 @@ def surface_places(spark: SparkSession, d: str) -> DataFrame:
 count(*) FILTER (region_text IS NULL) AS no_text FROM {M} GROUP BY 1""")
 def quote_validation(spark: SparkSession, d: str) -> DataFrame:
     quote = F.col("region_text").substr(F.col("text_start") + 1, F.col("text_end") - F.col("text_start"))
-    return live_mentions(spark, d).groupBy("entity_type").agg(
+    return live_mentions(spark, d, "entity_type", "mention_text", "region_text", "text_start", "text_end").groupBy("entity_type").agg(
         F.count("*").alias("n"), F.count_if(~quote.eqNullSafe(F.col("mention_text"))).alias("invalid"), F.count_if(F.col("region_text").isNull()).alias("no_text")
     )
 
@@ -131,7 +131,7 @@ FROM m a JOIN m b ON a.region_id = b.region_id WHERE a.entity_type = 'person' AN
 SELECT region_id, subject_id, object_id, gap FROM p WHERE rn = 1""")
 def relation_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Ordered pairs person, body within a region at a short gap; the nearest per pair of names."""
-    m = live_mentions(spark, d)
+    m = live_mentions(spark, d, "region_id", "entity_type", "mention_text", "text_start", "text_end")
     a = m.where("entity_type = 'person'").select("region_id", F.col("mention_id").alias("subject_id"), F.col("mention_text").alias("subject"), "text_end")
     b = m.where("entity_type IN ('school', 'organization')").select("region_id", F.col("mention_id").alias("object_id"), F.col("mention_text").alias("object"), "text_start")
     pairs = a.join(b, "region_id").withColumn("gap", F.col("text_start") - F.col("text_end")).where("gap BETWEEN 0 AND 40")
@@ -145,7 +145,7 @@ def citation_parse(spark: SparkSession, d: str) -> DataFrame:
     answer = F.concat("region_text", F.lit(" [region:"), "region_id", F.lit("] [region:x"))
     cited = F.size(F.regexp_extract_all("answer", F.lit(r"\[region:([0-9a-fA-F-]{36})\]"), 1))
     opened = ((F.char_length("answer") - F.char_length(F.replace("answer", F.lit("[region:"), F.lit("")))) / 8).cast("int")
-    return live_mentions(spark, d).select("mention_id", answer.alias("answer")).select("mention_id", cited.alias("cited"), (opened - cited).alias("malformed"))
+    return live_mentions(spark, d, "region_text", "region_id").select("mention_id", answer.alias("answer")).select("mention_id", cited.alias("cited"), (opened - cited).alias("malformed"))
 
 
 @query("""SELECT coalesce((publication_year // 10 * 10)::VARCHAR || 's', 'unknown') AS decade, variant, count(*) AS n, median(length(text)) AS median_size,
@@ -186,7 +186,7 @@ x AS (SELECT unnest(string_split(b, '')) AS before, unnest(string_split(a, ''))
 SELECT before, after, count(*) AS n FROM x WHERE before <> after GROUP BY 1, 2""")
 def substitution_counts(spark: SparkSession, d: str) -> DataFrame:
     """Which characters corrections of equal length replace."""
-    v = live_versions(spark, d)
+    v = live_versions(spark, d, "parent_text_version_id", "text_content")
     child = v.where("parent_text_version_id IS NOT NULL").select(F.lower("parent_text_version_id").alias("p"), F.col("text_content").alias("a"))
     pairs = child.join(v.select(F.col("text_version_id").alias("p"), F.col("text_content").alias("b")), "p").where("char_length(a) = char_length(b) AND char_length(a) > 0")
     chars = pairs.select(F.explode(F.filter(F.arrays_zip(F.split("b", "").alias("before"), F.split("a", "").alias("after")), lambda x: x["before"] != x["after"])).alias("c"))
@@ -199,7 +199,7 @@ SELECT variant, count(*) AS n, sum(levenshtein(a, b))::BIGINT AS edits, sum(leng
 def character_error_rate(spark: SparkSession, d: str) -> DataFrame:
     """Edits per character from a version to the one before, over the ASCII part of the text, which
     its SQL can count; ``character_error_rate_all`` takes whole texts."""
-    v = live_versions(spark, d).withColumn("t", F.regexp_replace("text_content", "[^ -~]", ""))
+    v = live_versions(spark, d, "parent_text_version_id", "text_content", "variant").withColumn("t", F.regexp_replace("text_content", "[^ -~]", ""))
     child = v.where("parent_text_version_id IS NOT NULL").select(F.lower("parent_text_version_id").alias("p"), "variant", F.col("t").alias("a"))
     pairs = child.join(v.select(F.col("text_version_id").alias("p"), F.col("t").alias("b")), "p")
     edits, chars = F.sum(F.levenshtein("a", "b")), F.sum(F.char_length("b"))
@@ -210,7 +210,7 @@ def character_error_rate(spark: SparkSession, d: str) -> DataFrame:
 def character_error_rate_all(spark: SparkSession, d: str) -> DataFrame:
     """Edits per character (code point) from a version to the one before, over whole texts in any
     script; pairs without one of the texts do not count. No SQL: DuckDB's levenshtein counts bytes."""
-    v = live_versions(spark, d).where("text_content IS NOT NULL")
+    v = live_versions(spark, d, "parent_text_version_id", "text_content", "variant").where("text_content IS NOT NULL")
     child = v.where("parent_text_version_id IS NOT NULL").select(F.lower("parent_text_version_id").alias("p"), "variant", F.col("text_content").alias("a"))
     pairs = child.join(v.select(F.col("text_version_id").alias("p"), F.col("text_content").alias("b")), "p")
     edits, chars = F.sum(F.levenshtein("a", "b")), F.sum(F.char_length("b"))
@@ -229,21 +229,29 @@ def polygon_measures(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- retrieval
 
-_TERMS = ["hospital", "concert", "school", "villages"]
-_WORDS = "[w FOR w IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF w <> '']"
+_TERMS = ["hospital", "concert", "school", "villages", "女子", "学校", "больницы"]
+_OTHER = ["committee", "council", "學校"]
+_CJK_SQL = r"[\p{Han}\p{Hiragana}\p{Katakana}]"
 
 
-def _bm25_sql(terms: list[str]) -> str:
+def terms_sql(text: str) -> str:
+    """SQL of the terms of a text: words, and of runs of Han and kana pairs of characters."""
+    words = rf"[w FOR w IN regexp_split_to_array(regexp_replace(lower({text}), '({_CJK_SQL}+)', ' \1 ', 'g'), '[^\p{{L}}\p{{M}}\p{{N}}]+') IF w <> '']"
+    return f"flatten([CASE WHEN regexp_matches(w, '^{_CJK_SQL}') THEN [substr(w, k, 2) FOR k IN generate_series(1, greatest(1, length(w) - 1))] ELSE [w] END FOR w IN {words}])"
+
+
+def bm25_sql(text: str, terms: list[str], table: str = "documents", key: str = "doc_id") -> str:
     wanted = ", ".join(f"'{t}'" for t in terms)
-    return f"""(WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, w, len(w) AS n FROM d), g AS (SELECT count(*) AS c, avg(n) AS a FROM l),
-t AS (SELECT doc_id, n, unnest(w) AS term FROM l), f AS (SELECT doc_id, n, term, count(*) AS tf FROM t WHERE term IN ({wanted}) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM f GROUP BY 1)
-SELECT doc_id, round(sum(ln(1 + (c - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / a))), 6) AS score FROM f JOIN df USING (term), g GROUP BY 1)"""
+    return f"""(WITH d AS (SELECT {key}, {terms_sql(text)} AS w FROM {table} WHERE {text} IS NOT NULL), l AS (SELECT {key}, w, len(w) AS n FROM d), g AS (SELECT count(*) AS c, avg(n) AS a FROM l),
+t AS (SELECT {key}, n, unnest(w) AS term FROM l), f AS (SELECT {key}, n, term, count(*) AS tf FROM t WHERE term IN ({wanted}) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM f GROUP BY 1)
+SELECT {key}, sum(ln(1 + (c - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / a))) AS score FROM f JOIN df USING (term), g GROUP BY 1)"""
 
 
-@query(f"SELECT doc_id, score FROM {_bm25_sql(_TERMS)} ORDER BY score DESC, doc_id LIMIT 20")
+@query(f"SELECT doc_id, round(score, 6) AS score FROM {bm25_sql('text', _TERMS)} ORDER BY round(score, 6) DESC, doc_id LIMIT 20")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    """Lexical search: BM25 with k1 1.2 and b 0.75 over lower-case words, the best twenty."""
-    return retrieval.bm25(load(spark, d, "documents"), "doc_id", "text", _TERMS).orderBy(F.desc("score"), "doc_id").limit(20)
+    """Lexical search: BM25 with k1 1.2 and b 0.75 over words of any script and pairs of Han and kana, the best twenty."""
+    counts = retrieval.term_counts(load(spark, d, "documents"), "doc_id", ["text"], _TERMS)
+    return retrieval.bm25(counts, "doc_id", {"text": 1.0}, _TERMS).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 _UNIT = "(SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS v, sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])) AS n FROM embeddings)"
@@ -266,16 +274,59 @@ def nearest_of_type(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.least("query_id", "vec_id").alias("left_id"), F.greatest("query_id", "vec_id").alias("right_id")).agg(F.max("cosine").alias("cosine"))
 
 
-@query(f"""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM {_bm25_sql(_TERMS)}), b AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM {_bm25_sql(['committee', 'council'])}),
+@query(f"""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM {bm25_sql('text', _TERMS)}), b AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS rank FROM {bm25_sql('text', _OTHER)}),
 u AS (SELECT doc_id, rank, 'a' AS k FROM a WHERE rank <= 50 UNION ALL SELECT doc_id, rank, 'b' FROM b WHERE rank <= 50)
 SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, CAST(min(rank) FILTER (k = 'a') AS INT) AS first_rank, CAST(min(rank) FILTER (k = 'b') AS INT) AS second_rank FROM u GROUP BY 1 ORDER BY score DESC, first_rank ASC NULLS LAST, doc_id LIMIT 20""")
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Reciprocal rank fusion of two ranked lists with their component ranks."""
-    documents = load(spark, d, "documents")
-    lists = [retrieval.top(retrieval.bm25(documents, "doc_id", "text", terms), "doc_id", 50) for terms in (_TERMS, ["committee", "council"])]
+    """Reciprocal rank fusion of two ranked lists with their component ranks; the texts are read once for both."""
+    both = _TERMS + _OTHER
+    counts = retrieval.term_counts(load(spark, d, "documents"), "doc_id", ["text"], both)
+    lists = [retrieval.top(retrieval.bm25(counts, "doc_id", {"text": 1.0}, both, terms), "doc_id", 50) for terms in (_TERMS, _OTHER)]
     return retrieval.fuse(lists[0], lists[1], "doc_id").orderBy(F.desc("score"), F.col("first_rank").asc_nulls_last(), "doc_id").limit(20)
 
 
+_TITLE = r"nullif(regexp_extract(text, '^\s*([^\n]*)', 1), '')"
+_ARTICLES = f"(SELECT doc_id, {_TITLE} AS title, text AS content, publication_year FROM documents WHERE variant IN ('corrected_transcription', 'approved_reconstruction') AND publication_year BETWEEN 1890 AND 1930)"
+_ARTICLE_TERMS = ["committee", "school", "學校", "女士"]
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    """Edited documents of some years with their first line as title."""
+    rows = load(spark, d, "documents").where(F.col("variant").isin("corrected_transcription", "approved_reconstruction") & F.col("publication_year").between(1890, 1930))
+    return rows.select("doc_id", F.nullif(F.regexp_extract("text", r"^\s*([^\n]*)", 1), F.lit("")).alias("title"), F.col("text").alias("content"))
+
+
+def _article_scores(spark: SparkSession, d: str) -> DataFrame:
+    counts = retrieval.term_counts(_articles(spark, d), "doc_id", ["title", "content"], _ARTICLE_TERMS)
+    return retrieval.bm25(counts, "doc_id", {"title": 3.0, "content": 1.0}, _ARTICLE_TERMS)
+
+
+_ARTICLE_SCORES = f"""(WITH r AS {_ARTICLES}, t AS {bm25_sql('title', _ARTICLE_TERMS, 'r')}, c AS {bm25_sql('content', _ARTICLE_TERMS, 'r')}
+SELECT doc_id, round(greatest(3 * coalesce(t.score, 0), coalesce(c.score, 0)), 6) AS score FROM t FULL JOIN c USING (doc_id))"""
+
+
+@query(f"SELECT doc_id, score FROM {_ARTICLE_SCORES} ORDER BY score DESC, doc_id LIMIT 20")
+def article_search(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical search in articles of some years: title three times content, the best field counts."""
+    return _article_scores(spark, d).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query(f"""WITH v AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS v FROM embeddings), u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v),
+q AS (SELECT v, n FROM u WHERE vec_id = 20), r AS {_ARTICLES},
+p AS (SELECT u.vec_id AS doc_id, row_number() OVER (ORDER BY round(list_dot_product(u.v, q.v) / (u.n * q.n), 6) DESC, u.vec_id) AS rank FROM u, q WHERE u.vec_id <> 20 AND u.vec_id IN (SELECT doc_id FROM r)),
+l AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM {_ARTICLE_SCORES}),
+a AS (SELECT doc_id, rank, 'l' AS k FROM l WHERE rank <= 50 UNION ALL SELECT doc_id, rank, 'd' FROM p WHERE rank <= 50)
+SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, CAST(min(rank) FILTER (k = 'l') AS INT) AS first_rank, CAST(min(rank) FILTER (k = 'd') AS INT) AS second_rank FROM a GROUP BY 1 ORDER BY score DESC, first_rank ASC NULLS LAST, doc_id LIMIT 20""")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Lexical and dense lists over the same filtered articles, fused by reciprocal rank. The vector of
+    an article has its number; the query is vector 20."""
+    vectors = load(spark, d, "embeddings")
+    own = vectors.join(_articles(spark, d).select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    dense = retrieval.nearest(vectors.where("vec_id = 20"), own, "vec_id", "embedding", 50).select(F.col("vec_id").alias("doc_id"), "rank")
+    lexical = retrieval.top(_article_scores(spark, d), "doc_id", 50)
+    return retrieval.fuse(lexical, dense, "doc_id").orderBy(F.desc("score"), F.col("first_rank").asc_nulls_last(), "doc_id").limit(20)
+
+
 @query(f"""WITH p AS (SELECT q.vec_id AS query_id, q.label AS ql, e.label AS el, e.vec_id, round(list_dot_product(q.v, e.v) / (q.n * e.n), 6) AS cosine FROM {_UNIT} q JOIN {_UNIT} e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM p),
 s AS (SELECT query_id, ql, count(*) FILTER (ql = el AND rank <= 10) AS hits, min(rank) FILTER (ql = el AND rank <= 10) AS first_hit FROM k GROUP BY 1, 2)
@@ -307,7 +358,7 @@ CASE WHEN predicted + expected = 0 THEN 1.0 WHEN expected = 0 THEN 0.0 ELSE roun
 def span_scores(spark: SparkSession, d: str) -> DataFrame:
     """Precision, recall and F1 of exact spans by type, by decade and in all, in one pass."""
     keys = ["region_id", "entity_type", "text_start", "text_end", "publication_year"]
-    flags = live_mentions(spark, d).groupBy(*keys).agg(F.bool_or(F.coalesce(F.col("mention_status") == "reviewed", F.lit(False))).alias("e"), F.bool_or(F.coalesce(F.col("extractor") == "span", F.lit(False))).alias("p")).where("e OR p")
+    flags = live_mentions(spark, d, "region_id", "entity_type", "text_start", "text_end", "publication_year", "mention_status", "extractor").groupBy(*keys).agg(F.bool_or(F.coalesce(F.col("mention_status") == "reviewed", F.lit(False))).alias("e"), F.bool_or(F.coalesce(F.col("extractor") == "span", F.lit(False))).alias("p")).where("e OR p")
     rows = flags.withColumn("decade", scoring.decade("publication_year"))
     rows.createOrReplaceTempView("evidentia_flags")
     sums = spark.sql("SELECT entity_type, decade, count_if(e AND p) AS tp, count_if(p) AS predicted, count_if(e) AS expected FROM evidentia_flags GROUP BY GROUPING SETS ((entity_type), (decade), ())")
@@ -321,7 +372,7 @@ s AS (SELECT replicate, round(sum(h) / sum(t), 9) AS score FROM d JOIN n USING (
 SELECT quantile_disc(score, 0.025) AS low, quantile_disc(score, 0.5) AS mid, quantile_disc(score, 0.975) AS high FROM s""")
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     """Share of reviewed mentions with a bootstrap interval over volumes."""
-    clusters = live_mentions(spark, d).groupBy(F.coalesce("volume_number", F.lit(-1)).alias("v")).agg(F.count_if(F.col("mention_status") == "reviewed").alias("h"), F.count("*").alias("t"))
+    clusters = live_mentions(spark, d, "volume_number", "mention_status").groupBy(F.coalesce("volume_number", F.lit(-1)).alias("v")).agg(F.count_if(F.col("mention_status") == "reviewed").alias("h"), F.count("*").alias("t"))
     scores = scoring.cluster_bootstrap(clusters, "v", "h", "t", 200, 1729)
     return scores.agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY score)").alias(n) for q, n in ((0.025, "low"), (0.5, "mid"), (0.975, "high"))])
 
@@ -343,7 +394,7 @@ def rater_agreement(spark: SparkSession, d: str) -> DataFrame:
 SELECT x.page_id, count(*) AS pairs, count(*) FILTER (x.b < y.b) AS right_pairs FROM o x JOIN o y ON x.page_id = y.page_id AND x.a < y.a GROUP BY 1""")
 def order_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of regions of a page that a second order has the same way round."""
-    ranked = live_regions(spark, d).select("page_id", F.col("reading_order").alias("a"), F.row_number().over(Window.partitionBy("page_id").orderBy("created_at", "region_id")).alias("b"))
+    ranked = live_regions(spark, d, "page_id", "reading_order", "created_at").select("page_id", F.col("reading_order").alias("a"), F.row_number().over(Window.partitionBy("page_id").orderBy("created_at", "region_id")).alias("b"))
     other = ranked.select("page_id", F.col("a").alias("a2"), F.col("b").alias("b2"))
     return ranked.join(other, "page_id").where("a < a2").groupBy("page_id").agg(F.count("*").alias("pairs"), F.count_if(F.col("b") < F.col("b2")).alias("right_pairs"))
 
@@ -384,7 +435,7 @@ def quota_sample(spark: SparkSession, d: str) -> DataFrame:
     """Twelve mentions of each reason in a stable pseudo-random order."""
     reason = F.when(F.col("confidence").isNull(), "unscored").when(F.col("confidence") < 0.6, "doubtful").when(F.col("extractor").isNull(), "unknown extractor").otherwise("usual")
     order = Window.partitionBy("reason").orderBy(F.sha2(F.concat(F.lit("packet:"), "mention_id"), 256))
-    return live_mentions(spark, d).select("mention_id", reason.alias("reason")).withColumn("rn", F.row_number().over(order)).where("rn <= 12").drop("rn")
+    return live_mentions(spark, d, "confidence", "extractor").select("mention_id", reason.alias("reason")).withColumn("rn", F.row_number().over(order)).where("rn <= 12").drop("rn")
 
 
 @query(f"""WITH s AS (SELECT region_id, coalesce(extractor, 'none') AS run, string_agg(entity_type || text_start || '-' || text_end, ' ' ORDER BY entity_type || text_start || '-' || text_end) AS p FROM {M} GROUP BY 1, 2)
@@ -392,5 +443,5 @@ SELECT region_id, count(*) AS runs FROM s GROUP BY 1 HAVING count(*) >= 2 AND (c
 def run_disagreement(spark: SparkSession, d: str) -> DataFrame:
     """Regions on which at least two extractors have different predictions."""
     item = F.concat("entity_type", F.col("text_start").cast("string"), F.lit("-"), F.col("text_end").cast("string"))
-    sets = live_mentions(spark, d).groupBy("region_id", F.coalesce("extractor", F.lit("none")).alias("run")).agg(F.array_join(F.array_sort(F.collect_list(item)), " ").alias("p"))
+    sets = live_mentions(spark, d, "region_id", "extractor", "entity_type", "text_start", "text_end").groupBy("region_id", F.coalesce("extractor", F.lit("none")).alias("run")).agg(F.array_join(F.array_sort(F.collect_list(item)), " ").alias("p"))
     return sets.groupBy("region_id").agg(F.count("*").alias("runs"), F.countDistinct("p").alias("kinds")).where("runs >= 2 AND kinds > 1").drop("kinds")
