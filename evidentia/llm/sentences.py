@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 from typing import NamedTuple
 
 import numpy as np
@@ -43,7 +45,9 @@ _QUOTES = regex.compile("[「」『』“”„«»\"]")
 _PAIRS = {"「": "」", "『": "』", "“": "”", "„": "“", "«": "»"}
 _ABBREVIATION = re.compile(r"(?<![^\W\d_])([^\W\d_]{1,6})(?=(\.?))(?![^\W\d_])")
 _LAST_WORD = regex.compile(r"(?<![\p{L}\p{M}])(\p{L}{1,6})\.[”’\"'」』）)»\s]*$")
-_BEFORE, _AFTER, _MARKED = regex.compile(r"^[\s\p{P}]+"), regex.compile(r"[\s\p{P}]+$"), regex.compile(r"[.!?。！？]")
+_MARKED = re.compile(r"[.!?。！？]")
+#: White space and punctuation.
+_BETWEEN = frozenset(char for char in map(chr, [*range(0xD800), *range(0xE000, 0x12000)]) if char.isspace() or unicodedata.category(char)[0] == "P")
 _TOKEN_END = regex.compile(r"(?r)[\p{L}\p{M}]+|[0-9]+|.")
 
 
@@ -68,12 +72,17 @@ _UNKNOWN = (-1.5, 0.5)
 
 
 def _opening(text: str) -> str:
-    start = _BEFORE.sub("", text[:12])
-    return start[:2] if start[:1] >= "฀" else start[:3]
+    k, size = 0, min(12, len(text))
+    while k < size and text[k] in _BETWEEN:
+        k += 1
+    return text[k : min(k + (2 if text[k : k + 1] >= "฀" else 3), size)]
 
 
 def _ending(text: str) -> str:
-    return _AFTER.sub("", text[-12:])[-3:]
+    k, least = len(text), max(0, len(text) - 12)
+    while k > least and text[k - 1] in _BETWEEN:
+        k -= 1
+    return text[max(least, k - 3) : k]
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
@@ -93,7 +102,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
                     if part and not part.isspace():
                         ends["o", _opening(part)] += 1
                         ends["e", _ending(part)] += 1
-                        if last := _LAST_WORD.search(part):
+                        if last := _LAST_WORD.search(part.rstrip()[-48:]):
                             final[last[1]] += 1
             words: Counter = Counter()
             for (word, _), n in found.items():
@@ -140,9 +149,9 @@ FEATURES = (
 )
 
 
-def candidates(text: str, corpus: Corpus) -> Iterator[tuple[int, list[float], int]]:
+def candidates(text: str, corpus: Corpus, labelled: bool = True) -> Iterator[tuple[int, list[float], int]]:
     """``(end of unit, features, label)`` of each candidate. The label is 1 for a reliable boundary,
-    0 for a reliable continuation and -1 where only the model can tell. Blank lines are boundaries
+    0 for a reliable continuation and -1 where only the model can tell (or if it is not asked for). Blank lines are boundaries
     by themselves and are no candidates; marks inside a quotation are none either, for a sentence
     runs on around it."""
     if not text or text.isspace():
@@ -191,6 +200,7 @@ def candidates(text: str, corpus: Corpus) -> Iterator[tuple[int, list[float], in
             upper, lower = nxt.isupper(), nxt.islower()
             odds, ends = corpus.abbreviations.get(word, _UNKNOWN)
             caseless = nxt.isalpha() and not upper and not lower
+            opening, ending = corpus.openings.get(_opening(part[m.end() : m.end() + 12]), 0.0), corpus.endings.get(_ending(part[max(0, end - 12) : end]), 0.0)
             dots = mark in ("...", "…", "……", "⋯⋯", "⋯", "‥") or (len(mark) > 1 and set(mark) <= set(".…⋯‥"))
             features = [
                 (mark == "."), (mark[:1] in "!?！？" and mark != ""), (mark[:1] in "。．" and mark != ""), (dots),
@@ -200,12 +210,14 @@ def candidates(text: str, corpus: Corpus) -> Iterator[tuple[int, list[float], in
                 (bool(nxt) and not nxt.isalnum() and nxt not in "「『“„«\"《‘(（—–-"), (word.isdigit()), (mark == "." and len(word) == 1 and word.isalpha()),
                 (max(-3.0, min(4.0, odds)) / 2 if mark == "." else 0.0), (max(-3.0, min(1.0, ends)) if mark == "." else 0.0), (mark == "." and 0 < len(word) <= 3 and word.isalpha()),
                 (closes), colon, number, fits, loose if line_no >= 0 else 0.0, (line_no >= 0 and "\t" in lines[line_no]),
-                corpus.openings.get(_opening(part[m.end() : m.end() + 12]), 0.0) / 4, corpus.endings.get(_ending(part[max(0, end - 12) : end]), 0.0) / 4,
+                opening / 4, ending / 4,
                 marked, (kind == "line"), (kind == "mark" and "\n" in gap), (nxt in "—–-" and nxt != ""),
                 (closes and not colon and caseless and not gap), (kind == "line" and not fits and loose < 0.3),
             ]
             label = -1
-            if kind == "mark":
+            if not labelled:
+                pass
+            elif kind == "mark":
                 if not nxt:
                     label = 1
                 elif number or lower or nxt in ",;:，；：、" or (closes and nxt in "—–"):
@@ -217,7 +229,7 @@ def candidates(text: str, corpus: Corpus) -> Iterator[tuple[int, list[float], in
                 elif not closes and mark[:1] in "。！？!?" and (caseless or (upper and gap)):
                     label = 1
                 elif upper and mark == "." and word.isdigit() and gap:  # an ordinal, or a number at the end
-                    label = int(_opening(part[m.end() : m.end() + 12]) in corpus.openings)
+                    label = int(opening > 0)
                 elif upper and mark == "." and gap and "\n" not in gap and odds > 2 and ends < -1:
                     label = 0
                 elif upper and mark == "." and (len(word) > 6 or ends > 0.3 and word.isalpha() and len(word) > 1):
@@ -227,7 +239,7 @@ def candidates(text: str, corpus: Corpus) -> Iterator[tuple[int, list[float], in
                     label = 1
                 elif not fits and loose < 0.3 and len(inner) > 2:
                     label = 0
-            elif corpus.openings.get(_opening(part[m.end() : m.end() + 12]), 0) and corpus.endings.get(_ending(part[max(0, end - 12) : end]), 0):
+            elif opening and ending:
                 label = 1
             yield begin + end, features, label
         begin = after
@@ -238,11 +250,9 @@ def units(text: str, corpus: Corpus, weights: np.ndarray) -> list[tuple[int, int
     everything but white space. Blank texts have none."""
     if not text or text.isspace():
         return []
-    found = list(candidates(text, corpus))
+    *margin, bias = (weights[:, 1] - weights[:, 0]).tolist()  # two classes: the sign of the difference decides
     ends = [m.start() for m in _BLANK.finditer(text)] + [len(text)]
-    if found:
-        chosen = maxent.probabilities(np.array([f for _, f, _ in found], float), weights)[:, 1] >= 0.5
-        ends += [end for (end, _, _), keep in zip(found, chosen, strict=True) if keep]
+    ends += [end for end, features, _ in candidates(text, corpus, labelled=False) if sum(map(mul, features, margin)) + bias >= 0]
     out, start = [], 0
     for end in sorted(set(ends)):
         piece = text[start:end]
