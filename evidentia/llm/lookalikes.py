@@ -27,9 +27,31 @@ INVISIBLE = r"[\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x
 
 
 @cache
-def _mapping() -> tuple[str, str]:
+def _confusable(spark: SparkSession) -> dict[str, str]:
+    """Letters of other alphabets than the Latin one and what Latin letter of the same case they print
+    like, by the published table of confusable characters in the engine's own Unicode library."""
+    letters = [chr(c) for c in [*range(0x370, 0xD800), *range(0x10000, 0x1F000)] if unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lo")]
+    letters = [c for c in letters if not unicodedata.name(c, "LATIN").startswith(("LATIN", "CJK", "HANGUL", "HIRAGANA", "KATAKANA", "YI ", "CUNEIFORM", "EGYPTIAN", "ANATOLIAN", "TANGUT", "BAMUM", "VAI "))]
+    checker = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    latin = [c for c in map(chr, range(0x41, 0x7B)) if c.isalpha()]
+
+    def skeletons(chars: list[str]) -> list[str]:
+        out = checker.getSkeleton("\n".join(chars)).split("\n")
+        return out if len(out) == len(chars) else [checker.getSkeleton(c) for c in chars]
+
+    like: dict[tuple[str, str], str] = {}
+    for char, skeleton in zip(latin, skeletons(latin), strict=True):
+        like.setdefault((skeleton, unicodedata.category(char)), char)
+    found = {c: like.get((k, "Lu" if unicodedata.category(c) == "Lu" else "Ll")) for c, k in zip(letters, skeletons(letters), strict=True)}
+    return {c: to for c, to in found.items() if to}
+
+
+@cache
+def _mapping(spark: SparkSession | None = None) -> tuple[str, str]:
     """Characters and what each is mapped to. Compatibility forms of one character (full and half
-    width, radicals, presentation forms) follow from the Unicode data by rule."""
+    width, radicals, presentation forms) follow from the Unicode data by rule, letters that print
+    like Latin ones from the table of confusable characters; without a session, as for the SQL that
+    results are checked against, only the fixed ones count."""
     pairs: dict[str, str] = {}
     for code in [*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x2F800, 0x2FA20)]:
         char = chr(code)
@@ -39,6 +61,7 @@ def _mapping() -> tuple[str, str]:
         # superscripts and the like print differently; accented letters stay whole
         elif plain != char and len(plain) == 1 and not unicodedata.decomposition(char).startswith(("<super>", "<sub>", "<font>", "<circle>")):
             pairs[char] = plain
+    pairs.update(_confusable(spark) if spark is not None else {})
     for group in (_CYRILLIC, _GREEK):
         pairs.update(zip(group[::2], group[1::2], strict=True))
     pairs.update(dict.fromkeys(_HYPHENS, "-"))
@@ -50,7 +73,10 @@ def _mapping() -> tuple[str, str]:
 def mapped(value: Column | str) -> Column:
     """The look-alike-mapped value; null stays null. Letter case, spelling, accents and character
     variants are kept."""
-    return F.translate(F.regexp_replace(value, INVISIBLE, ""), *_mapping())
+    plain = F.translate(F.regexp_replace(value, INVISIBLE, ""), *_mapping(SparkSession.getActiveSession()))
+    for ligature in map(chr, range(0xFB00, 0xFB07)):  # several letters in one
+        plain = F.replace(plain, F.lit(ligature), F.lit(unicodedata.normalize("NFKC", ligature)))
+    return plain
 
 
 def canonical_forms(values: DataFrame) -> DataFrame:

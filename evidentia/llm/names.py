@@ -16,6 +16,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -38,22 +39,8 @@ _TITLES = "mr mrs ms miss mme mlle dr rev prof sir lady madame monsieur frau frl
 _TITLES_HAN = "女士 夫人 小姐 先生 醫生 女史 太太 博士 君 氏".split()
 _AROUND_HAN = "株式會社 本埠 私立 本店 支店".split()
 _FILLERS = frozenset("the of de and".split())
-# One-character names of cities.
+# One-character names of cities, as on number plates and newspaper mastheads.
 _CITIES = {"津": "天津", "漢": "漢口", "甬": "寧波", "粵": "廣州", "穗": "廣州", "閩": "福州", "榕": "福州", "滬": "上海", "申": "上海", "蘇": "蘇州", "杭": "杭州", "錫": "無錫", "鎮": "鎮江", "寧": "南京"}
-# Simplified characters and their traditional forms, pair by pair.
-_SIMPLIFIED = (
-    "护護华華静靜娴嫻妇婦贞貞报報颖穎广廣范範启啟龙龍兰蘭济濟乐樂务務云雲费費蚕蠶陆陸师師莲蓮纨紈绮綺诚誠织織瑶瑤罗羅毕畢怀懷贺賀"
-    "学學会會馆館国國医醫书書门門东東车車马馬鸟鳥鱼魚凤鳳银銀钱錢铁鐵丽麗丝絲红紅纪紀细細终終经經维維张張杨楊刘劉陈陳吴吳赵趙孙孫"
-    "郑鄭蒋蔣韩韓冯馮邓鄧许許苏蘇卢盧谢謝邹鄒严嚴顾顧龚龔关關温溫叶葉钟鐘万萬汤湯滕滕尔爾满滿爱愛宝寶长長业業义義习習乡鄉"
-)
-_TO_TRADITIONAL = str.maketrans({a: b for a, b in zip(_SIMPLIFIED[::2], _SIMPLIFIED[1::2], strict=True)} | {"啓": "啟", "衞": "衛", "群": "群"})
-# Readings of characters that names are often misspelled with.
-_READINGS = {
-    "花": "hua", "賢": "hsien", "鞠": "chü", "叔": "shu", "雯": "wen", "幸": "hsing", "何": "ho", "玥": "yüeh", "陶": "t'ao", "愫": "su", "綉": "hsiu",
-    "繡": "hsiu", "箬": "jo", "遙": "yao", "莉": "li", "芝": "chih", "薛": "hsüeh", "楳": "mei", "嵩": "sung", "琪": "ch'i", "連": "lien",
-    "薌": "hsiang", "鈺": "yü", "瑛": "ying", "楨": "chen",
-}
-
 _HAN = regex.compile(r"[\p{Han}\p{Katakana}\p{Hiragana}ー]+")
 _NOT_HAN_NAME = regex.compile(r"[^\p{Han}\p{Katakana}\p{Hiragana}ー]+")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}'’]+\.?")
@@ -70,27 +57,57 @@ def is_han(text: str) -> bool:
     return bool(_HAN.search(text))
 
 
-def name_key(value: str, kind: str | None) -> str:
+class Hanzi(NamedTuple):
+    """Simplified forms and toneless readings of Han characters, as the Unicode data of the engine's own
+    library has them. Names are compared in simplified form, since many traditional characters
+    have one, but not the other way round."""
+
+    simplified: dict[int, str]
+    readings: dict[str, str]
+
+    def fold(self, text: str) -> str:
+        return text.translate(self.simplified)
+
+
+@cache
+def hanzi(spark: SparkSession, chars: str) -> Hanzi:
+    """What is known of the given characters; a few thousand, whatever the number of names."""
+    if not chars:
+        return Hanzi({}, {})
+    icu = spark._jvm.com.ibm.icu.text.Transliterator
+    simple = icu.getInstance("Traditional-Simplified").transliterate(chars)
+    if len(simple) != len(chars):
+        return Hanzi({}, {})
+    own = sorted(set(simple))
+    spoken = icu.getInstance("Han-Latin; NFD; [:Mn:] Remove; Lower").transliterate("\n".join(own)).split("\n")
+    readings = {c: r for c, r in zip(own, spoken, strict=False) if r.isascii() and r.isalpha()} if len(spoken) == len(own) else {}
+    return Hanzi({ord(a): b for a, b in zip(chars, simple, strict=True) if a != b}, readings)
+
+
+def name_key(value: str, kind: str | None, known: Hanzi = Hanzi({}, {})) -> str:  # noqa: B008
     """Tokens of a look-alike-mapped name, separated by spaces; what is no part of a name (titles,
     legal forms, brackets, fillers) is left out. An acronym keeps its capitals."""
     value = unicodedata.normalize("NFKC", value).strip()
     if is_han(value):
+        fold = known.fold
         place = regex.search(r"[(（]([\p{Han}]+)[)）]\s*$", value)
-        text = _NOT_HAN_NAME.sub("", value[: place.start()] if place else value).translate(_TO_TRADITIONAL)
+        text = fold(_NOT_HAN_NAME.sub("", value[: place.start()] if place else value))
         if place:
-            text = place.group(1).translate(_TO_TRADITIONAL) + text
-        for mark in _AROUND_HAN:
+            text = fold(place.group(1)) + text
+        for mark in map(fold, _AROUND_HAN):
             text = text.removeprefix(mark).removesuffix(mark) if len(text) > len(mark) + 1 else text
         if kind == "person":
-            for title in _TITLES_HAN:
+            for title in map(fold, _TITLES_HAN):
                 if text.endswith(title) and len(text) - len(title) >= 2:
                     text = text.removesuffix(title)
                     break
                 if text[1:].startswith(title) and len(text) - len(title) >= 2:
                     text = text[0] + text[1 + len(title) :]
                     break
-        elif text[:1] in _CITIES and text[:2] not in _CITIES.values():
-            text = _CITIES[text[0]] + text[1:]
+        else:
+            cities = {fold(a): fold(b) for a, b in _CITIES.items()}
+            if text[:1] in cities and text[:2] not in cities.values():
+                text = cities[text[0]] + text[1:]
         return text
     letters = regex.sub(r"[^\p{L}]", "", value)
     if 3 <= len(letters) <= 6 and letters.isupper() and len(_WORD.findall(value.replace(".", ". "))) in (1, len(letters)) and (kind != "person"):
@@ -103,18 +120,17 @@ def name_key(value: str, kind: str | None) -> str:
     return " ".join(w.strip("'") if kind == "person" else w for w in words)
 
 
-def syllables(names: list[tuple[str, list[str]]]) -> dict[str, str]:
-    """Reading of each character, from names that have an alias with as many syllables."""
+def syllables(names: list[tuple[str, list[str]]], known: Hanzi = Hanzi({}, {})) -> dict[str, str]:  # noqa: B008
+    """Romanised form of each (simplified) character, from names that have an alias with as many syllables."""
     seen: dict[str, Counter] = {}
     for name, aliases in names:
         if is_han(name) and len(name) <= 4:
             for alias in aliases:
                 parts = regex.split(r"[\s-]+", alias.casefold())
                 if not is_han(alias) and len(parts) == len(name):
-                    for char, part in zip(name, parts, strict=True):
+                    for char, part in zip(known.fold(name), parts, strict=False):
                         seen.setdefault(char, Counter())[part] += 1
-    learned = {char: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for char, c in seen.items()}
-    return {**_READINGS, **learned}
+    return {char: min(c.items(), key=lambda x: (-x[1], x[0]))[0] for char, c in seen.items()}
 
 
 def one_slip(a: str, b: str) -> bool:
@@ -132,8 +148,8 @@ def one_slip(a: str, b: str) -> bool:
 class Verifier:
     """Soft weighted token similarity of a mention's key and a catalogue name's key."""
 
-    def __init__(self, weights: dict[str, float], readings: dict[str, str], nicknames: dict[str, set[str]]):
-        self.weights, self.readings, self.nicknames = weights, readings, nicknames
+    def __init__(self, weights: dict[str, float], readings: dict[str, str], nicknames: dict[str, set[str]], spoken: dict[str, str] | None = None):
+        self.weights, self.readings, self.nicknames, self.spoken = weights, readings, nicknames, spoken or {}
         self.most = max(weights.values(), default=1.0)
 
     def weight(self, token: str) -> float:
@@ -150,10 +166,14 @@ class Verifier:
             return 0.0
         return self._latin(mention.split(), name.split(), kind)
 
+    def _sound_alike(self, a: str, b: str) -> bool:
+        """By the romanised names of the catalogue or by the readings of the characters."""
+        return any(known.get(a) is not None and known.get(a) == known.get(b) for known in (self.readings, self.spoken))
+
     def _person_han(self, mention: str, name: str) -> float:
         if len(mention) == len(name) and len(name) > 1:
             odd = [(a, b) for a, b in zip(mention, name, strict=True) if a != b]
-            if len(odd) == 1 and (reading := self.readings.get(odd[0][0])) and reading == self.readings.get(odd[0][1]) and mention[0] == name[0]:
+            if len(odd) == 1 and mention[0] == name[0] and self._sound_alike(*odd[0]):
                 return 0.9
             return 0.0
         if len(mention) == len(name) - 1 >= 2 and name[1:] == mention:  # the given name alone
@@ -253,13 +273,13 @@ def q_grams(token: str) -> list[str]:
 _KEYS = "value string, entity_type string, key string, tokens array<string>"
 
 
-def keyed(values: DataFrame) -> DataFrame:
+def keyed(values: DataFrame, known: Hanzi = Hanzi({}, {})) -> DataFrame:  # noqa: B008
     """``value, entity_type, key, tokens`` of ``value, entity_type, look`` (the mapped value)."""
     schema = pa.schema([("value", pa.string()), ("entity_type", pa.string()), ("key", pa.string()), ("tokens", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [name_key(v or "", k) for v, k in zip(batch.column("look").to_pylist(), batch.column("entity_type").to_pylist(), strict=True)]
+            keys = [name_key(v or "", k, known) for v, k in zip(batch.column("look").to_pylist(), batch.column("entity_type").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("value"), batch.column("entity_type"), pa.array(keys, pa.string()), pa.array([k.split() for k in keys], pa.list_(pa.string()))], schema=schema)
 
     return values.select("value", "entity_type", "look").mapInArrow(run, _KEYS)
@@ -305,7 +325,7 @@ def similar_tokens(left: DataFrame, right: DataFrame, threshold: float = SIMILAR
     )
 
 
-def catalogue_names(catalogue: DataFrame, readings: dict[str, str]) -> DataFrame:
+def catalogue_names(catalogue: DataFrame, readings: dict[str, str], known: Hanzi = Hanzi({}, {})) -> DataFrame:  # noqa: B008
     """``entity_id, entity_type, key, tokens, acronym, derived``: names, aliases and the forms that
     follow from them by rule (derived): the romanised name by the characters' readings, a body's
     name without its place, and with any place if none of its names has one."""
@@ -314,13 +334,13 @@ def catalogue_names(catalogue: DataFrame, readings: dict[str, str]) -> DataFrame
         "entity_id", "entity_type", first.alias("placed"), F.explode(F.array_distinct(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("value")
     ).where("value IS NOT NULL").withColumn("look", mapped("value"))
     schema = pa.schema([("entity_id", pa.string()), ("entity_type", pa.string()), ("key", pa.string()), ("tokens", pa.list_(pa.string())), ("acronym", pa.string()), ("derived", pa.bool_())])
-    cities = sorted(set(_CITIES.values()))
+    cities = sorted(set(map(known.fold, _CITIES.values())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for entity, kind, value, placed in zip(*(batch.column(c).to_pylist() for c in ("entity_id", "entity_type", "look", "placed")), strict=True):
-                key = name_key(value, kind)
+                key = name_key(value, kind, known)
                 out.append((entity, kind, key, False))
                 if kind == "person" and is_han(key):
                     if len(key) <= 4 and all(c in readings for c in key):
@@ -350,9 +370,15 @@ def link_names(values: DataFrame, catalogue: DataFrame, nicknames: DataFrame) ->
     catalogue links nothing. The catalogue's tokens, readings and the list of familiar forms are
     sent to the workers: they are bounded by the reviewed catalogue, which is of fixed size.
     """
+    distinct = cut(values.where("value IS NOT NULL AND value <> ''").select("value", "entity_type").distinct())
+    written = distinct.select("value").unionByName(catalogue.select(F.explode(F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("value")))
+    # the alphabet of the names, which is that of Unicode at most
+    alphabet = written.select(F.explode(F.regexp_extract_all("value", F.lit(r"(\p{IsHan})"), 1)).alias("c")).distinct().agg(F.array_join(F.array_sort(F.collect_list("c")), "")).first()[0]
+    fixed = "".join([*_TITLES_HAN, *_AROUND_HAN, *_CITIES, *_CITIES.values()])
+    known = hanzi(values.sparkSession, "".join(sorted({*(alphabet or ""), *fixed})))
     source = [(r.canonical_name, r.aliases or []) for r in catalogue.where("entity_type = 'person' AND canonical_name IS NOT NULL").select("canonical_name", "aliases").toLocalIterator()]
-    readings = syllables(source)
-    names = cut(catalogue_names(catalogue, readings))
+    readings = syllables(source, known)
+    names = cut(catalogue_names(catalogue, readings, known))
     plain = names.where("NOT derived OR entity_type = 'person'")
     total = plain.count()
     kinds = F.explode(F.array_distinct(F.concat("tokens", F.split("key", ""))))
@@ -362,17 +388,18 @@ def link_names(values: DataFrame, catalogue: DataFrame, nicknames: DataFrame) ->
     for row in nicknames.where("short_name IS NOT NULL AND full_name IS NOT NULL").toLocalIterator():
         familiar.setdefault(row.short_name.casefold(), set()).add(row.full_name.casefold())
 
-    distinct = values.where("value IS NOT NULL AND value <> ''").select("value", "entity_type").distinct()
-    own = cut(keyed(distinct.withColumn("look", mapped("value"))).where("key <> ''"))
+    own = cut(keyed(distinct.withColumn("look", mapped("value")), known).where("key <> ''"))
     keys = own.select("entity_type", "key", "tokens").distinct()
 
-    weight_of = F.udf(lambda t: float(weights.get(t, 0.0)), "double")
     name_tokens = names.select("entity_type", F.col("key").alias("name"), F.explode(F.array_distinct("tokens")).alias("other")).distinct()
-    weighed = name_tokens.withColumn("w", weight_of("other"))
+    weighed = name_tokens.join(F.broadcast(counted.select(F.col("token").alias("other"), F.log(1 + total / F.col("n")).alias("w"))), "other", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     whole = weighed.groupBy("entity_type", "name").agg(F.sum("w").alias("whole"))
     tokens = keys.select("entity_type", "key", F.explode(F.array_distinct("tokens")).alias("token"))
     long = F.char_length(F.regexp_replace("token", "[.']", "")) > 1
-    near = cut(similar_tokens(tokens.where(long).select("token").distinct(), weighed.select(F.col("other").alias("token")).distinct()))
+    alike = similar_tokens(tokens.where(long).select("token").distinct(), weighed.select(F.col("other").alias("token")).distinct())
+    # a familiar form leads to the full names, however they are spelled
+    spelled = nicknames.where("short_name IS NOT NULL AND full_name IS NOT NULL").select(F.lower("short_name").alias("token"), F.lower("full_name").alias("other"))
+    near = cut(alike.unionByName(spelled).distinct())
     candidates = (
         tokens.join(near, "token").join(weighed, ["other", "entity_type"])
         .select("entity_type", "key", "name", "other", "w").distinct()
@@ -385,7 +412,7 @@ def link_names(values: DataFrame, catalogue: DataFrame, nicknames: DataFrame) ->
     schema = pa.schema([("entity_type", pa.string()), ("key", pa.string()), ("name", pa.string()), ("score", pa.float64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        verifier = Verifier(weights, readings, familiar)
+        verifier = Verifier(weights, readings, familiar, known.readings)
         for batch in batches:
             scores = [verifier.score(m, n, k or "") for k, m, n in zip(*(batch.column(c).to_pylist() for c in ("entity_type", "key", "name")), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema=schema)
