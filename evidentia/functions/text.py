@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
 import regex
@@ -67,15 +66,6 @@ def edit_counts(expected: pd.Series, read: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["substitutions", "deletions", "insertions"])
 
 
-@F.udtf(returnType=T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("surface", T.StringType())]))
-class RegexSpans:
-    """Table function: every match of a pattern in a text with its offsets."""
-
-    def eval(self, text: str, pattern: str) -> Iterator[tuple[int, int, str]]:
-        for match in regex.finditer(pattern, text or ""):
-            yield match.start(), match.end(), match.group()
-
-
 #: Characters behind which a text is cut rather than elsewhere.
 BOUNDARIES = frozenset(" \t\n\r　。．.!?！？；;，,、：:")
 

@@ -4,7 +4,13 @@ bounded groups (a region, a page)."""
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from evidentia.session import cut
+
+#: Rounds after which the kept pairs are written together.
+_COMPACT = 8
 
 
 def maximum_pairs(edges: dict[int, list[int]]) -> dict[int, int]:
@@ -75,14 +81,9 @@ def degree_capped(pairs: DataFrame, kind: str, most: int) -> DataFrame:
     ranked at both ends among those still undecided, pairs whose rank is within the room left at
     both ends are kept, and pairs at a full end are dropped. Equal to the sequential result.
     """
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
-    from evidentia.session import cut
-
     a, b = F.least("a", "b"), F.greatest("a", "b")
     rest = cut(pairs.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").groupBy(kind, a.alias("a"), b.alias("b")).agg(F.max("score").alias("score")))
-    kept = None
+    empty, kept, rounds = rest.limit(0), None, 0
     while not rest.isEmpty():
         order = [F.desc("score"), "a", "b"]
         ends = rest.select(kind, "a", "b", "score", F.explode(F.array("a", "b")).alias("end"))
@@ -92,8 +93,10 @@ def degree_capped(pairs: DataFrame, kind: str, most: int) -> DataFrame:
         room = F.lit(most) - (F.coalesce("have", F.lit(0)) if kept is not None else F.lit(0))
         ranked = ends.withColumn("room", room).withColumn("rank", F.row_number().over(Window.partitionBy(kind, "end").orderBy(*order)))
         verdict = ranked.groupBy(kind, "a", "b", "score").agg(F.bool_and(F.col("rank") <= F.col("room")).alias("keep"), F.bool_or(F.col("room") <= 0).alias("full"))
-        verdict = cut(verdict)
-        taken = verdict.where("keep AND NOT full").select(kind, "a", "b", "score")
-        kept = cut(taken if kept is None else kept.unionByName(taken))
-        rest = cut(verdict.where("NOT keep AND NOT full").select(kind, "a", "b", "score"))
-    return kept if kept is not None else rest
+        verdict = cut(verdict.where("NOT full"))  # one table a round, which holds what was kept and what is open
+        taken = verdict.where("keep").select(kind, "a", "b", "score")
+        kept, rounds = taken if kept is None else kept.unionByName(taken), rounds + 1
+        if rounds % _COMPACT == 0:
+            kept = cut(kept)
+        rest = verdict.where("NOT keep").select(kind, "a", "b", "score")
+    return empty if kept is None else kept

@@ -59,6 +59,28 @@ def occurrences(text: str, part: str) -> Column:
     return F.when((F.char_length(part) > 0) & (F.char_length(part) <= F.char_length(text)), F.size(found)).otherwise(0)
 
 
+def pattern_spans(df: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """``key, span_start, span_end, surface`` of every match of a pattern (without groups that capture) in a
+    text. Matches are marked by a character that is in no text and the text is parted at the marks, so
+    offsets are running sums of the lengths of what stands between and within; no Python is involved.
+    Null texts have no spans, matches of nothing neither."""
+    mark = "\uffff"
+    clean = F.replace(F.col(text), F.lit(mark), F.lit(" "))
+    parts = F.split(F.regexp_replace(clean, f"({pattern})", f"{mark}$1{mark}"), mark)
+    rows = df.where(F.col(text).isNotNull() & F.col(text).rlike(pattern)).select(key, parts.alias("_p")).select(key, F.explode(F.arrays_zip(F.col("_p").alias("s"), _starts("_p").alias("a"), F.sequence(F.lit(0), F.size("_p") - 1).alias("i"))).alias("x"))
+    return rows.where("x.i % 2 = 1 AND x.s <> ''").select(key, F.col("x.a").alias("span_start"), (F.col("x.a") + F.char_length("x.s")).alias("span_end"), F.col("x.s").alias("surface"))
+
+
+def _starts(parts: str) -> Column:
+    """Offsets at which the parts of a text begin."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        return F.struct((acc["at"] + F.char_length(part)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    return F.aggregate(parts, begin, step, lambda acc: acc["out"])
+
+
 def sliding(size: Column, limit: int, step: int) -> Column:
     """Starts of windows of ``limit`` tokens, ``step`` apart; the last one reaches the end."""
     last = F.greatest(F.lit(0), F.ceil((size - limit) / F.lit(step)).cast("int"))

@@ -52,13 +52,15 @@ def version_depths(spark: SparkSession, d: str) -> DataFrame:
     return ends.unionByName(tops).groupBy(F.col("hops").alias("depth")).agg(F.count("*").alias("versions"), F.countDistinct("end").alias("chains"))
 
 
-@query("""WITH RECURSIVE x AS (SELECT lower(superseded_entity_id) AS a, min(lower(canonical_entity_id)) AS b FROM entity_redirect GROUP BY 1),
-w(n, at_node, k) AS (SELECT a, b, 1 FROM x UNION ALL SELECT w.n, x.b, k + 1 FROM w JOIN x ON x.a = w.at_node WHERE k < 70)
-SELECT DISTINCT n AS entity_id FROM w WHERE k >= 70""")
+@query("""WITH RECURSIVE e AS (SELECT lower(superseded_entity_id) AS a, lower(canonical_entity_id) AS b FROM entity_redirect UNION SELECT lower(canonical_entity_id), lower(superseded_entity_id) FROM entity_redirect WHERE reversed_at IS NOT NULL),
+x AS (SELECT a, min(b) AS b FROM e WHERE a <> b GROUP BY 1), w(n, at_node) AS (SELECT a, b FROM x UNION SELECT w.n, x.b FROM w JOIN x ON x.a = w.at_node)
+SELECT n AS entity_id FROM w GROUP BY 1 HAVING count(*) FILTER (at_node NOT IN (SELECT a FROM x)) = 0""")
 def endless_redirects(spark: SparkSession, d: str) -> DataFrame:
-    """Redirects, reversed ones too, whose chain never ends."""
-    rows = load(spark, d, "entity_redirect").select(F.lower("superseded_entity_id").alias("src"), F.lower("canonical_entity_id").alias("dst"))
-    return selection.on_cycles(rows).select(F.col("node").alias("entity_id"))
+    """Entities whose chain never ends if a reversal is read as a redirect back."""
+    rows = load(spark, d, "entity_redirect")
+    ways = rows.select(F.lower("superseded_entity_id").alias("src"), F.lower("canonical_entity_id").alias("dst"))
+    back = rows.where("reversed_at IS NOT NULL").select(F.lower("canonical_entity_id").alias("src"), F.lower("superseded_entity_id").alias("dst"))
+    return selection.on_cycles(ways.unionByName(back)).select(F.col("node").alias("entity_id"))
 
 
 @query(f"""SELECT page_id, count(*) AS regions, CASE WHEN bool_or(confidence < 0.3) THEN 'failed' WHEN bool_or(confidence IS NULL) THEN 'open' ELSE 'completed' END AS status FROM {R} GROUP BY 1""")
@@ -172,14 +174,15 @@ def capped_pairs(spark: SparkSession, d: str) -> DataFrame:
     return matching.degree_capped(pairs, "kind", 3)
 
 
-@query()
-def rule_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Rule-based mentions with offsets: every match of a pattern in the regions' texts."""
-    from evidentia.functions.text import RegexSpans
+_RULE = r"[\p{IsHan}]{2,4}(?:女士|先生|君)|(?:Mrs?|Miss|Dr|Rev)\. [A-Z]\w+"
 
-    spark.udtf.register("evidentia_regex_spans", RegexSpans)
-    live_regions(spark, d, "raw_text").where("raw_text IS NOT NULL").createOrReplaceTempView("evidentia_regions")
-    return spark.sql(r"SELECT region_id, s.start AS span_start, s.end AS span_end, s.surface FROM evidentia_regions, LATERAL evidentia_regex_spans(raw_text, '[\\p{Han}]{2,4}(?:女士|先生|君)|(?:Mrs?|Miss|Dr|Rev)\\. [A-Z]\\w+') s")
+
+@query(f"""WITH t AS (SELECT region_id, raw_text, regexp_extract_all(raw_text, '[\\p{{Han}}]{{2,4}}(?:女士|先生|君)|(?:Mrs?|Miss|Dr|Rev)\\. [A-Z]\\w+') AS found, regexp_split_to_array(raw_text, '[\\p{{Han}}]{{2,4}}(?:女士|先生|君)|(?:Mrs?|Miss|Dr|Rev)\\. [A-Z]\\w+') AS between FROM {R} WHERE raw_text IS NOT NULL)
+SELECT region_id, (list_sum([length(x) FOR x IN between[1:i]]) + coalesce(list_sum([length(x) FOR x IN found[1:i - 1]]), 0))::INT AS span_start,
+(list_sum([length(x) FOR x IN between[1:i]]) + list_sum([length(x) FOR x IN found[1:i]]))::INT AS span_end, found[i] AS surface FROM (SELECT *, unnest(generate_series(1, len(found))) AS i FROM t)""")
+def rule_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Rule-based mentions with offsets: every match of a pattern in the regions' texts, inside the engine."""
+    return spans.pattern_spans(live_regions(spark, d, "raw_text"), "region_id", "raw_text", _RULE)
 
 
 @query()

@@ -253,16 +253,14 @@ def page_profile(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(f"""WITH s AS (SELECT *, least(lower(left_profile_id), lower(right_profile_id)) AS a, greatest(lower(left_profile_id), lower(right_profile_id)) AS b FROM {I})
-SELECT s.identity_pair_decision_id AS decision_id FROM s WHERE review_status = 'reviewed' AND EXISTS (SELECT 1 FROM s t WHERE t.a = s.a AND t.b = s.b
-AND (t.created_at, t.identity_pair_decision_id) > (s.created_at, s.identity_pair_decision_id) AND t.review_status <> 'reviewed')""")
+@query(f"""SELECT s.text_version_id FROM {V} s WHERE review_status = 'reviewed' AND EXISTS (SELECT 1 FROM {V} t WHERE t.region_id = s.region_id
+AND (t.created_at, t.text_version_id) > (s.created_at, s.text_version_id) AND t.review_status <> 'reviewed')""")
 def later_blockers(spark: SparkSession, d: str) -> DataFrame:
-    """Reviewed decisions that a later decision on the same pair contradicts."""
-    left, right = F.lower("left_profile_id"), F.lower("right_profile_id")
-    state = current(load(spark, d, "identity_pair_review"), "identity_pair_decision_id", "left_profile_id", "right_profile_id", "review_status", "created_at")
-    rows = state.select(F.least(left, right).alias("a"), F.greatest(left, right).alias("b"), "review_status", F.struct("created_at", "identity_pair_decision_id").alias("at"))
-    last = rows.where("review_status <> 'reviewed'").groupBy("a", "b").agg(F.max("at").alias("blocker"))
-    return rows.where("review_status = 'reviewed'").join(last, ["a", "b"]).where("blocker > at").select(F.col("at.identity_pair_decision_id").alias("decision_id"))
+    """Reviewed versions after which another version of the region came that is not reviewed. The last
+    such version of each region is all that must be compared."""
+    rows = live_versions(spark, d, "region_id", "review_status", "created_at").select("region_id", "review_status", F.struct("created_at", "text_version_id").alias("at"))
+    last = rows.where("review_status <> 'reviewed'").groupBy("region_id").agg(F.max("at").alias("blocker"))
+    return rows.where("review_status = 'reviewed'").join(last, "region_id").where("blocker > at").select("at.text_version_id")
 
 
 @query("""SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k_sum, max(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS k_max FROM events GROUP BY 1""")

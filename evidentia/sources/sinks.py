@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,15 +33,22 @@ def publish(df: DataFrame, root: str, expected: str | None = None, rows: int | N
         raise ValueError(f"{written} rows were written, {rows} expected")
     if expected is not None and _read_pointer(spark, root) != expected:
         raise ValueError("another version was published meanwhile")
-    fs, new = _files(spark, f"{root}/CURRENT.{version}")
+    _point(spark, root, version)
+    return version
+
+
+def _point(spark: SparkSession, root: str, version: str) -> None:
+    """Replace the pointer in one step: a reader finds the old or the new one, never none."""
+    _, new = _files(spark, f"{root}/CURRENT.{uuid.uuid4().hex}")
+    _, pointer = _files(spark, f"{root}/CURRENT")
+    fs = new.getFileSystem(spark._jsc.hadoopConfiguration())
     stream = fs.create(new, True)
     stream.write(bytearray(version.encode()))
     stream.close()
-    _, pointer = _files(spark, f"{root}/CURRENT")
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    fs.rename(new, pointer)
-    return version
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    rename = spark._jvm.java.lang.reflect.Array.newInstance(hadoop.Options.Rename.OVERWRITE.getClass(), 1)
+    rename[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, pointer, rename)
 
 
 def current_version(spark: SparkSession, root: str) -> DataFrame:
@@ -49,16 +57,29 @@ def current_version(spark: SparkSession, root: str) -> DataFrame:
 
 def restore(spark: SparkSession, root: str, version: str) -> None:
     """Point back at an older version, which was kept."""
-    fs, pointer = _files(spark, f"{root}/CURRENT")
-    stream = fs.create(pointer, True)
-    stream.write(bytearray(version.encode()))
-    stream.close()
+    fs, at = _files(spark, f"{root}/{version}")
+    if not fs.exists(at):
+        raise ValueError(f"version {version} is not there")
+    _point(spark, root, version)
 
 
-def export_citations(placed: DataFrame, pages: DataFrame, root: str) -> None:
-    """Documents (``page_id, content, parts``) and citations (``region_id, page_id, start, end``) as JSON lines."""
+def export_citations(placed: DataFrame, pages: DataFrame, root: str, text: str = "t") -> None:
+    """Documents (``page_id, content, parts``) and citations (``region_id, page_id, start, end`` and the
+    cited text) as JSON lines, and a manifest with their counts and digests, which do not depend on
+    the order of the rows."""
     pages.write.mode("overwrite").json(f"{root}/documents")
     placed.write.mode("overwrite").json(f"{root}/citations")
+    manifest(pages.sparkSession, root).coalesce(1).write.mode("overwrite").json(f"{root}/manifest")
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """``part, n, digest`` of what an export holds: the number of lines and the sum of their digests."""
+    parts = []
+    for part in ("documents", "citations"):
+        lines = spark.read.text(f"{root}/{part}")
+        digest = F.sum(F.conv(F.substring(F.sha2("value", 256), 1, 14), 16, 10).cast("decimal(38,0)"))
+        parts.append(lines.agg(F.count("*").alias("n"), F.coalesce(digest, F.lit(0).cast("decimal(38,0)")).cast("string").alias("digest")).select(F.lit(part).alias("part"), "n", "digest"))
+    return parts[0].unionByName(parts[1])
 
 
 def invalid_citations(spark: SparkSession, root: str, text: str = "t") -> DataFrame:
@@ -67,3 +88,22 @@ def invalid_citations(spark: SparkSession, root: str, text: str = "t") -> DataFr
     joined = placed.join(pages.select("page_id", "content"), "page_id", "left")
     quote = F.col("content").substr((F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
     return joined.where(~quote.eqNullSafe(F.col(text))).select("region_id", "page_id", "start", "end")
+
+
+def export_faults(spark: SparkSession, root: str, text: str = "t") -> DataFrame:
+    """``fault, n`` of an export: counts or digests that differ from the manifest, citations that are not
+    what stands at their offsets, that repeat a region, or that name no document, documents with
+    another number of parts than citations. An export without faults has no rows."""
+    said = spark.read.json(f"{root}/manifest").select("part", F.col("n").cast("bigint").alias("n"), "digest")
+    changed = manifest(spark, root).join(said.withColumnsRenamed({"n": "m", "digest": "e"}), "part", "left").where("NOT (n <=> m) OR NOT (digest <=> e)")
+    pages, placed = spark.read.json(f"{root}/documents"), spark.read.json(f"{root}/citations")
+    counted = placed.groupBy("page_id").agg(F.count("*").alias("found"))
+    faults = {
+        "differs from the manifest": changed.select("part"),
+        "text is not at its offsets": invalid_citations(spark, root, text).select("region_id"),
+        "region is cited twice": placed.groupBy("region_id").agg(F.count("*").alias("k")).where("k > 1").select("region_id"),
+        "no such document": placed.join(pages.select("page_id"), "page_id", "left_anti").select("region_id"),
+        "parts are not accounted for": pages.join(counted, "page_id", "left").where("parts <> coalesce(found, 0)").select("page_id"),
+    }
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("fault"), "n") for name, df in faults.items()]
+    return reduce(DataFrame.unionByName, rows).where("n > 0")

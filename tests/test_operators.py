@@ -86,7 +86,7 @@ def test_text_functions(spark):
     ops = df.select(text.alignment("b", "c").alias("o")).first().o
     assert [(o.a_start, o.a_end, o.b_start, o.b_end) for o in ops if o.op == "replace"] == [(4, 5, 4, 5)]
     assert df.select(F.levenshtein(F.lit("王氏入學女塾"), F.lit("王民入學"))).first()[0] == 3
-    assert text.chunk_ranges(27, [(14, 17)], 16) == [(0, 14), (14, 27)]
+    assert text.chunk_ranges("x" * 27, [(14, 17)], 16) == [(0, 14), (14, 27)]
 
 
 def test_identity_functions(spark):

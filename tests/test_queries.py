@@ -2,9 +2,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from evidentia.plans import graphs, integrity, relational, texts
+from evidentia.plans import archive, evaluation, graphs, integrity, relational, spans, texts
 
-CORE = [m for m in (integrity, relational, texts, graphs)]
+CORE = [integrity, relational, texts, graphs, spans, evaluation, archive]
 
 
 def normal(rows):
@@ -63,3 +63,9 @@ def test_plans_have_no_cartesian_product(spark, folder):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     plan = entry.queries()["genres_since"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(publication_year), GreaterThanOrEqual(publication_year,1910)]" in plan
+
+
+def test_states_read_only_what_is_asked(spark, folder):
+    plan = entry.queries()["status_pivot"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    schema = plan.split("ReadSchema: struct<")[1].split(">")[0]
+    assert sorted(part.split(":")[0] for part in schema.split(",")) == ["deleted_at", "entity_type", "ingested_at", "mention_id", "mention_status"]
