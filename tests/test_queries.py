@@ -66,6 +66,8 @@ def test_plans_have_no_cartesian_product(spark, folder):
 
 
 def test_states_read_only_what_is_asked(spark, folder):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     plan = entry.queries()["status_pivot"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     schema = plan.split("ReadSchema: struct<")[1].split(">")[0]
     assert sorted(part.split(":")[0] for part in schema.split(",")) == ["deleted_at", "entity_type", "ingested_at", "mention_id", "mention_status"]
