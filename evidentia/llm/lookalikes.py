@@ -180,5 +180,14 @@ def _found_sql() -> str:
     ON a.field_name = b.field_name AND a.region_id = b.region_id AND a.look = b.look AND a.v <> b.v AND a.mention_id < b.mention_id"""
 
 
+def _forms_sql() -> str:
+    source, target = (part.replace("'", "''") for part in _mapping())
+    look = f"nfc_normalize(translate(regexp_replace(v, '{INVISIBLE}', '', 'g'), '{source}', '{target}'))"
+    return f"""WITH m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY ingested_at DESC) AS rn FROM mention_queue) WHERE rn = 1),
+    c AS (SELECT v, count(*) AS n FROM (SELECT mention_text AS v FROM m UNION ALL SELECT normalized_text FROM m) WHERE v IS NOT NULL GROUP BY 1), k AS (SELECT v, n, {look} AS look FROM c),
+    f AS (SELECT look, arg_min(v, (-n, v)) AS canonical FROM k GROUP BY 1), x AS (SELECT v, canonical FROM k JOIN f USING (look))
+    SELECT mention_id, a.canonical AS mention_text_form, b.canonical AS normalized_text_form FROM m LEFT JOIN x a ON a.v = mention_text LEFT JOIN x b ON b.v = normalized_text"""
+
+
 QUERIES = {"p7_found": p7_found, "p7_forms": p7_forms}
-ORACLE = {"p7_found": _found_sql()}
+ORACLE = {"p7_found": _found_sql(), "p7_forms": _forms_sql()}
