@@ -2,7 +2,7 @@
 
 Method: the keys of a parent table are cut into ranges; every range is stored as one row of sorted
 arrays. References travel to the range their key falls into and are probed there in vectorised
-batches by binary search. A range that many references hit is probed by several tasks, each with
+batches by binary search, in arrays of digests of fixed width, so that long keys cost no more. A range that many references hit is probed by several tasks, each with
 its own copy of the (bounded) arrays, so a hot parent never ends up in one task.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,15 +49,25 @@ def reference_states(children: DataFrame, key: str, field: str) -> DataFrame:
 
 
 def _probe(refs: pa.Table, parents: pa.Table) -> pa.Table:
-    wanted = np.array([k.encode() for k in refs.column("ref").to_pylist()], dtype=bytes)
-    cause = np.full(len(wanted), "missing", object)
-    if parents.num_rows and len(wanted) and (row := parents.slice(0, 1).to_pylist()[0])["keys"]:
-        keys = np.array([k.encode() for k in row["keys"]], dtype=bytes)
-        first, gone = np.array(row["firsts"], "i8"), np.array(row["gones"], bool)
+    """Binary search of all references of a range at once, in the sorted digests of its keys; what is found is
+    compared with the key itself, and where several keys have one digest with each of them."""
+    n_refs = refs.num_rows
+    cause = np.full(n_refs, "missing", object)
+    row = parents.slice(0, 1)
+    if n_refs and parents.num_rows and row.column("keys").null_count == 0:
+        keys, digests, first, gone = (row.column(c).combine_chunks().flatten() for c in ("keys", "digests", "firsts", "gones"))
+        digests, first, gone = digests.to_numpy(), first.to_numpy(), gone.to_numpy(zero_copy_only=False)
+        wanted, asked = refs.column("ref").combine_chunks(), refs.column("digest").to_numpy()
         born = refs.column("first_us").to_numpy()
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        hit = keys[at] == wanted
-        cause[hit] = np.where(gone[at[hit]], "deleted", np.where(first[at[hit]] > born[hit], "late", ""))
+        at = np.searchsorted(digests, asked)
+        open_ = np.flatnonzero((at < len(digests)) & (digests[np.minimum(at, len(digests) - 1)] == asked))
+        while len(open_):
+            same = pc.equal(keys.take(pa.array(at[open_])), wanted.take(pa.array(open_))).to_numpy(zero_copy_only=False)
+            hit = open_[same]
+            cause[hit] = np.where(gone[at[hit]], "deleted", np.where(first[at[hit]] > born[hit], "late", ""))
+            open_ = open_[~same]
+            at[open_] += 1
+            open_ = open_[(at[open_] < len(digests)) & (digests[np.minimum(at[open_], len(digests) - 1)] == asked[open_])]
     bad = pa.array(np.flatnonzero(cause != ""))
     return pa.table(
         {
@@ -78,17 +89,17 @@ def orphan_references(references: DataFrame, parents: DataFrame, n_parents: int)
     ranges = max(1, -(-n_parents // RANGE_KEYS))
     micros = F.unix_micros("first_at")
     arrays = (
-        parents.select(_range_of(F.col("key"), ranges).alias("r"), F.struct("key", micros.alias("f"), "gone").alias("p"))
+        parents.select(_range_of(F.col("key"), ranges).alias("r"), F.struct(F.xxhash64("key").alias("h"), "key", micros.alias("f"), "gone").alias("p"))
         .groupBy("r")
         .agg(F.array_sort(F.collect_list("p")).alias("ps"))
-        .select("r", F.col("ps.key").alias("keys"), F.col("ps.f").alias("firsts"), F.col("ps.gone").alias("gones"))
+        .select("r", F.col("ps.key").alias("keys"), F.col("ps.h").alias("digests"), F.col("ps.f").alias("firsts"), F.col("ps.gone").alias("gones"))
     )
-    refs = references.select("record_id", "ref", "created_at", micros.alias("first_us"), _range_of(F.col("ref"), ranges).alias("r"))
+    refs = references.select("record_id", "ref", "created_at", F.xxhash64("ref").alias("digest"), micros.alias("first_us"), _range_of(F.col("ref"), ranges).alias("r"))
     # how many tasks share a range: counted over all references with map-side combination
     shares = refs.groupBy("r").agg(F.ceil(F.count("*") / F.lit(PROBE_ROWS)).cast("int").alias("n"))
     salted = refs.join(shares, "r").withColumn("s", F.pmod(F.xxhash64("record_id"), F.col("n")).cast("int")).drop("n")
     copies = shares.join(arrays, "r", "left").select(
-        F.col("r").alias("to_r"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("to_s"), "keys", "firsts", "gones"
+        F.col("r").alias("to_r"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("to_s"), "keys", "digests", "firsts", "gones"
     )
     return (
         salted.groupBy("r", "s")

@@ -52,6 +52,17 @@ def gaps(df: DataFrame, unit: str, start: str, end: str) -> DataFrame:
     return marked.groupBy(unit).agg(F.count_if(F.col(start) > F.col("_b")).alias("gaps"), F.count_if(F.col(start) < F.col("_b")).alias("overlaps"))
 
 
+def within(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, low: int, high: int) -> DataFrame:
+    """Range join: pairs of rows that agree in ``keys`` with ``low <= right.start - left.at <= high``. Places
+    are cut into bins as wide as the range and joined by equality with two of them, so that a group of
+    very many rows is parted and only neighbours meet. Nulls meet nothing."""
+    width = high - low + 1
+    own = F.floor(F.col(at) / width)
+    a = left.withColumn("_bin", F.explode(F.array(own, own + 1)))
+    b = right.withColumn("_bin", F.floor((F.col(start) - low) / width))
+    return a.join(b, [*keys, "_bin"]).where((F.col(start) - F.col(at)).between(low, high)).drop("_bin")
+
+
 def occurrences(text: str, part: str) -> Column:
     """Number of (also overlapping) occurrences of a non-empty part in a text."""
     places = F.sequence(F.lit(1), F.char_length(text) - F.char_length(part) + 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import columns as C
 from evidentia.operators import identity, merges, selection, timeline
+from evidentia.plans import relational
 from evidentia.plans.relational import I, M, P, R, V, X, cur, live_mentions, live_regions, live_versions
 from evidentia.sources.tables import current, load
 
@@ -287,6 +288,36 @@ def augmented_texts(spark: SparkSession, d: str) -> DataFrame:
     return chars.join(wrong, F.col("ch") == F.col("meant"), "left").groupBy("doc_id").agg(F.count("*").alias("chars"), F.count_if(F.col("wrong").isNotNull() & drawn).alias("changed"))
 
 
+@query("""SELECT event_id, sha256('{"e":"' || event_type || '","p":' || json_extract_string(props, '$.k') || ',"u":' || user_id || '}') AS digest FROM events""")
+def payload_digests(spark: SparkSession, d: str) -> DataFrame:
+    """Digest of JSON objects in canonical form, whatever the order of their keys."""
+    from evidentia.functions.ids import canonical_digest
+
+    payload = F.to_json(F.struct(F.col("user_id").alias("u"), F.get_json_object("props", "$.k").cast("bigint").alias("p"), F.col("event_type").alias("e")))
+    return load(spark, d, "events").select("event_id", canonical_digest(payload).alias("digest"))
+
+
+@query("""WITH f AS (SELECT mention_id, mention_status, deleted_at IS NOT NULL AS gone, row_number() OVER (PARTITION BY mention_id ORDER BY ingested_at) AS a, row_number() OVER (PARTITION BY mention_id ORDER BY ingested_at DESC) AS b FROM mention_queue)
+SELECT x.mention_id FROM f x JOIN f y USING (mention_id) WHERE x.a = 1 AND y.b = 1 AND (x.mention_status IS DISTINCT FROM y.mention_status OR x.gone <> y.gone)""")
+def drifted_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Read-back of an insert that must not change anything: records that came again with another mark."""
+    rows = load(spark, d, "mention_queue").withColumn("gone", F.col("deleted_at").isNotNull())
+    old = merges.first_delivery(rows, "mention_id", ["mention_status", "gone"])
+    return merges.drifted(old, current(rows, "mention_id", "mention_status", "gone"), "mention_id")
+
+
+_SIGNALS = {"years": ("longitudinal_presence", "entity_id", "len(string_split(years, ','))"), "pages": ("multi_page_entities", "entity_id", "pages"), "degree": ("hub_profiles", "profile_id", "degree")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{s}' AS signal, {k} AS id, ({n})::BIGINT AS n FROM ({relational.ORACLE[q]})" for s, (q, k, n) in _SIGNALS.items()))
+def insight_report(spark: SparkSession, d: str) -> DataFrame:
+    """The graph's signals in one table: entities of several years, entities of several pages, hubs."""
+    years = relational.longitudinal_presence(spark, d).select(F.lit("years").alias("signal"), F.col("entity_id").alias("id"), F.size(F.split("years", ",")).cast("bigint").alias("n"))
+    pages = relational.multi_page_entities(spark, d).select(F.lit("pages").alias("signal"), F.col("entity_id").alias("id"), F.col("pages").alias("n"))
+    hubs = relational.hub_profiles(spark, d).select(F.lit("degree").alias("signal"), F.col("profile_id").alias("id"), F.col("degree").alias("n"))
+    return years.unionByName(pages).unionByName(hubs)
+
+
 @query()
 def article_texts(spark: SparkSession, d: str) -> DataFrame:
     """Pages as articles of their regions' newest reviewed texts: content digest and offsets, or the

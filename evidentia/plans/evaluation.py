@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import columns as C
-from evidentia.operators import retrieval, scoring
+from evidentia.operators import retrieval, scoring, spans
 from evidentia.plans.relational import M, P, R, V, live_mentions, live_regions, live_versions
 from evidentia.plans.texts import bm25_sql
 from evidentia.sources.tables import current, load
@@ -99,7 +99,7 @@ def relation_scores(spark: SparkSession, d: str) -> DataFrame:
     def pairs(rows: DataFrame) -> DataFrame:
         a = rows.select("region_id", F.col("entity_type").alias("st"), F.col("text_start").alias("s1"), F.col("text_end").alias("e1"), F.col("mention_id").alias("i"))
         b = rows.select("region_id", F.col("entity_type").alias("ot"), F.col("text_start").alias("s2"), F.col("text_end").alias("e2"), F.col("mention_id").alias("k"))
-        return a.join(b, "region_id").where("i <> k AND s2 - e1 BETWEEN -5 AND 60")
+        return spans.within(a, b, ["region_id"], "e1", "s2", -5, 60).where("i <> k")
 
     places = ["region_id", "s1", "e1", "s2", "e2"]
     gold = pairs(m.where("extractor IS NULL OR extractor = 'span'")).where("st = 'person' AND ot IN ('school', 'organization') AND s2 >= e1 AND s2 - e1 <= 40").select(*places).distinct()

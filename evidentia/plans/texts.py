@@ -134,7 +134,7 @@ def relation_pairs(spark: SparkSession, d: str) -> DataFrame:
     m = live_mentions(spark, d, "region_id", "entity_type", "mention_text", "text_start", "text_end")
     a = m.where("entity_type = 'person'").select("region_id", F.col("mention_id").alias("subject_id"), F.col("mention_text").alias("subject"), "text_end")
     b = m.where("entity_type IN ('school', 'organization')").select("region_id", F.col("mention_id").alias("object_id"), F.col("mention_text").alias("object"), "text_start")
-    pairs = a.join(b, "region_id").withColumn("gap", F.col("text_start") - F.col("text_end")).where("gap BETWEEN 0 AND 40")
+    pairs = spans.within(a, b, ["region_id"], "text_end", "text_start", 0, 40).withColumn("gap", F.col("text_start") - F.col("text_end"))
     return selection.first_of(pairs, ["subject", "object"], ["gap", "subject_id", "object_id"], ["region_id", "subject_id", "object_id", "gap"]).drop("subject", "object")
 
 
@@ -438,10 +438,16 @@ def quota_sample(spark: SparkSession, d: str) -> DataFrame:
     return live_mentions(spark, d, "confidence", "extractor").select("mention_id", reason.alias("reason")).withColumn("rn", F.row_number().over(order)).where("rn <= 12").drop("rn")
 
 
-@query(f"""WITH s AS (SELECT region_id, coalesce(extractor, 'none') AS run, string_agg(entity_type || text_start || '-' || text_end, ' ' ORDER BY entity_type || text_start || '-' || text_end) AS p FROM {M} GROUP BY 1, 2)
-SELECT region_id, count(*) AS runs FROM s GROUP BY 1 HAVING count(*) >= 2 AND (count(DISTINCT p) > 1)""")
+@query(f"""WITH m AS (SELECT region_id, coalesce(extractor, 'none') AS run, entity_type || text_start || '-' || text_end AS item FROM {M}), x AS (SELECT DISTINCT run FROM m), r AS (SELECT DISTINCT region_id FROM m),
+s AS (SELECT r.region_id, x.run, coalesce((SELECT string_agg(DISTINCT item, ' ' ORDER BY item) FROM m WHERE m.region_id = r.region_id AND m.run = x.run), '') AS p FROM r, x)
+SELECT region_id, count(*) AS runs, count(DISTINCT p) AS kinds FROM s GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT p) > 1""")
 def run_disagreement(spark: SparkSession, d: str) -> DataFrame:
-    """Regions on which at least two extractors have different predictions."""
+    """Regions on which at least two extractors have different sets of predictions; one that predicts
+    nothing has the empty set. The extractors are few, so they are added to each region as an array."""
     item = F.concat("entity_type", F.col("text_start").cast("string"), F.lit("-"), F.col("text_end").cast("string"))
-    sets = live_mentions(spark, d, "region_id", "extractor", "entity_type", "text_start", "text_end").groupBy("region_id", F.coalesce("extractor", F.lit("none")).alias("run")).agg(F.array_join(F.array_sort(F.collect_list(item)), " ").alias("p"))
-    return sets.groupBy("region_id").agg(F.count("*").alias("runs"), F.countDistinct("p").alias("kinds")).where("runs >= 2 AND kinds > 1").drop("kinds")
+    m = live_mentions(spark, d, "region_id", "extractor", "entity_type", "text_start", "text_end").select("region_id", F.coalesce("extractor", F.lit("none")).alias("run"), item.alias("item"))
+    sets = m.groupBy("region_id", "run").agg(F.array_join(F.array_sort(F.collect_set("item")), " ").alias("p"))
+    found = sets.groupBy("region_id").agg(F.count("*").alias("some"), F.collect_set("p").alias("ps"))
+    runs = m.select("run").distinct().agg(F.count("*").alias("runs"))  # one row
+    kinds = F.size("ps") + F.when((F.col("some") < F.col("runs")) & ~F.array_contains("ps", ""), 1).otherwise(0)
+    return found.crossJoin(F.broadcast(runs)).select("region_id", "runs", kinds.cast("bigint").alias("kinds")).where("runs >= 2 AND kinds > 1")

@@ -51,6 +51,18 @@ def _point(spark: SparkSession, root: str, version: str) -> None:
     hadoop.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, pointer, rename)
 
 
+def publish_graph(vertices: DataFrame, edges: DataFrame, root: str) -> dict[str, str]:
+    """Rebuild a graph: vertices (``id``, one row each) and edges (``src, dst, label``, each once) as new
+    versions below ``root``. Edges whose ends are no vertices are left out, as a graph cannot hold
+    them; both versions are complete before the pointers move."""
+    nodes = vertices.where("id IS NOT NULL").dropDuplicates(["id"])
+    ids = nodes.select(F.col("id").alias("_id"))
+    kept = edges.dropDuplicates(["src", "dst", "label"])
+    for end in ("src", "dst"):
+        kept = kept.join(ids, kept[end] == ids["_id"], "left_semi")
+    return {"vertices": publish(nodes, f"{root}/vertices"), "edges": publish(kept, f"{root}/edges")}
+
+
 def current_version(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{_read_pointer(spark, root)}")
 

@@ -418,3 +418,26 @@ def test_degree_caps_equal_the_sequential_result(spark):
             degree.update([a, b])
     got = matching.degree_capped(spark.createDataFrame(pairs, "t string, a string, b string, score double"), "t", 2)
     assert {(r.a, r.b) for r in got.collect()} == kept
+
+
+def test_range_join_equals_brute_force(spark):
+    rng = random.Random(9)
+    a, b = ([(rng.choice("xy"), rng.randrange(-50, 200), k) for k in range(80)] for _ in range(2))
+    left = spark.createDataFrame(a + [(None, 1, 98), ("x", None, 99)], "g string, e int, i int")
+    right = spark.createDataFrame(b + [("x", None, 99)], "g string, s int, k int")
+    for low, high in ((0, 40), (-5, 60), (3, 3), (-9, -2)):
+        got = rows(spans.within(left, right, ["g"], "e", "s", low, high).select("i", "k"))
+        assert got == sorted(((i, k) for g, e, i in a for h, s, k in b if g == h and low <= s - e <= high), key=repr)
+
+
+def test_keys_of_one_digest_are_told_apart():
+    import pyarrow as pa
+
+    from evidentia.operators.references import _probe
+
+    lists = {"keys": (["a", "b", "c"], pa.string()), "digests": ([1, 5, 5], pa.int64()), "firsts": ([10, 10, 10], pa.int64()), "gones": ([False, True, False], pa.bool_())}
+    parents = pa.table({n: pa.array([v], pa.list_(t)) for n, (v, t) in lists.items()})
+    refs = pa.table({"record_id": [f"r{k}" for k in range(6)], "ref": ["a", "b", "c", "d", "x" * 999, "a"], "digest": pa.array([1, 5, 5, 5, 9, 1], pa.int64()), "first_us": pa.array([20, 20, 20, 20, 20, 5], pa.int64()), "created_at": list(range(6))})
+    got = _probe(refs, parents).to_pylist()
+    assert [(r["record_id"], r["cause"]) for r in got] == [("r1", "deleted"), ("r3", "missing"), ("r4", "missing"), ("r5", "late")]
+    assert _probe(refs, parents.slice(0, 0)).num_rows == 6 and _probe(refs.slice(0, 0), parents).num_rows == 0

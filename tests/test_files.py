@@ -67,3 +67,32 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     assert all((u, e) in emitted for u, e in batch.items())
     logs.run_available(logs.deduplicated(log, late="60 days"), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.select("event_id").distinct().count()
+
+
+def test_readers_of_other_formats(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,t\n1,x\n2,\n")
+    assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "a.csv"), "k int, t string").collect()] == [(1, "x"), (2, None)]
+    (tmp_path / "b.csv").write_text("k,other\n1,x\n")
+    with pytest.raises(Exception):
+        files.read_csv(spark, str(tmp_path / "b.csv"), "k int, t string").collect()
+    (tmp_path / "run.json").write_text('{\n "run": {"id": "r"},\n "pages": [{"n": 1},\n {"n": 2}]\n}')
+    artifact = files.read_artifacts(spark, str(tmp_path / "run.json"), "run struct<id:string>, pages array<struct<n:int>>")
+    assert [tuple(r) for r in artifact.select("run.id", F.explode("pages.n")).collect()] == [("r", 1), ("r", 2)]
+    assert [tuple(r) for r in files.parameters(spark, a=["x", "y"], b=[1, 2]).collect()] == [("x", 1), ("y", 2)]
+    assert files.parameters(spark, a=[]).count() == 0
+    with pytest.raises(ValueError):
+        files.parameters(spark, a=["x"], b=[])
+
+
+def test_database_scan_is_partitioned(spark):
+    url = "jdbc:derby:memory:evidentia;create=true"
+    spark.range(100).withColumnRenamed("id", "K").coalesce(1).write.jdbc(url, "T", mode="overwrite", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    df = files.read_jdbc(spark, url, "T", "K", 0, 100, 4, driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert df.rdd.getNumPartitions() == 4 and sorted(r[0] for r in df.collect()) == list(range(100))
+
+
+def test_graph_rebuild(spark, tmp_path):
+    vertices = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), (None, "z")], "id string, label string")
+    edges = spark.createDataFrame([("a", "b", "e"), ("a", "b", "e"), ("a", "gone", "e")], "src string, dst string, label string")
+    sinks.publish_graph(vertices, edges, str(tmp_path))
+    assert sinks.current_version(spark, f"{tmp_path}/vertices").count() == 2 and [tuple(r) for r in sinks.current_version(spark, f"{tmp_path}/edges").collect()] == [("a", "b", "e")]
