@@ -16,6 +16,7 @@ import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from operator import mul
 from typing import NamedTuple
 
@@ -143,14 +144,36 @@ def _quotations(text: str) -> list[tuple[int, int]]:
 
 FEATURES = (
     "period", "exclaim", "full stop of han", "ellipsis", "no gap", "space", "line end", "thai space", "ideographic space", "end of text",
-    "upper next", "lower next", "digit next", "opening quote next", "letter without case next", "other next", "digit before", "initial before",
-    "abbreviation odds", "ends paragraphs", "short before", "closed quotation", "closed after colon", "number around", "line fits", "lines vary", "tab", "opening", "ending",
-    "marked text", "line end without mark", "line end after mark", "dash next", "quotation runs on", "wrapped line",
+    "upper next", "lower next", "digit next", "opening quote next", "letter without case next", "other next", "line end without mark", "line end after mark", "dash next",
+    "digit before", "initial before", "abbreviation odds", "ends paragraphs", "short before", "closed quotation", "closed after colon", "number around",
+    "line fits", "lines vary", "tab", "opening", "ending", "marked text", "quotation runs on", "wrapped line",
 )
-
-
-def candidates(text: str, corpus: Corpus, labelled: bool = True) -> Iterator[tuple[int, list[float], int]]:
-    """``(end of unit, features, label)`` of each candidate. The label is 1 for a reliable boundary,
+#: So many features follow from the mark, the gap and the next character alone.
+_STILL = FEATURES.index("digit before")
+_ELLIPSES = frozenset("…⋯‥")
+
+
+@lru_cache(maxsize=1 << 16)
+def _still(kind: str, mark: str, gap: str, nxt: str) -> tuple[tuple[float, ...], bool, bool, bool, bool]:
+    """The features that follow from these alone (few different ones, whatever the texts), and whether
+    the mark is an ellipsis and the next character upper, lower or without case."""
+    first, end = mark[:1], "\n" in gap
+    upper, lower = nxt.isupper(), nxt.islower()
+    caseless = nxt.isalpha() and not upper and not lower
+    dots = mark == "..." or (mark != "" and set(mark) <= _ELLIPSES) or (len(mark) > 1 and set(mark) <= _ELLIPSES | {"."})
+    opens = nxt != "" and nxt in "「『“„«\"《‘(（"
+    features = (
+        mark == ".", mark != "" and first in "!?！？", mark != "" and first in "。．", dots,
+        kind == "mark" and not gap, kind == "mark" and gap != "" and not end, end,
+        kind == "space" and "　" not in gap, kind == "space" and "　" in gap, not nxt,
+        upper, lower, nxt.isdigit(), opens, caseless, nxt != "" and not nxt.isalnum() and not opens and nxt not in "—–-",
+        kind == "line", kind == "mark" and end, nxt != "" and nxt in "—–-",
+    )
+    return tuple(map(float, features)), dots, upper, lower, caseless
+
+
+def candidates(text: str, corpus: Corpus, labelled: bool = True) -> Iterator[tuple[int, tuple[float, ...], list[float], int]]:
+    """``(end of unit, features, more features, label)`` of each candidate. The label is 1 for a reliable boundary,
     0 for a reliable continuation and -1 where only the model can tell (or if it is not asked for). Blank lines are boundaries
     by themselves and are no candidates; marks inside a quotation are none either, for a sentence
     runs on around it."""
@@ -187,32 +210,27 @@ def candidates(text: str, corpus: Corpus, labelled: bool = True) -> Iterator[tup
                 continue
             after_quote = q >= 0 and not inside and part[quotes[q][1] + 1 : m.start()].strip() == "" and kind != "mark"
             gap = m["gap"] if kind == "mark" else m[0]
-            following = part[m.end() : m.end() + 3]
-            nxt = following[:1]
+            nxt = part[m.end() : m.end() + 1]
             token = _TOKEN_END.search(part, max(0, m.start() - 24), m.start())
             word = token[0] if token else ""
             mark = m["mark"] or ""
             line_no = bisect_right(starts, begin + end - 1) - 1 if "\n" in gap else -1
             fits = float(line_no >= 0 and line_no < len(tight) and not tight[line_no])
             colon = float((closes or after_quote) and part[: quotes[q][0]].rstrip()[-1:] in (":", "：", ","))
-            digit_next = nxt.isdigit()
-            number = float(word.isdigit() and digit_next and not gap and len(mark) == 1)
-            upper, lower = nxt.isupper(), nxt.islower()
-            odds, ends = corpus.abbreviations.get(word, _UNKNOWN)
-            caseless = nxt.isalpha() and not upper and not lower
+            digits = word.isdigit()
+            number = float(digits and not gap and len(mark) == 1 and nxt.isdigit())
+            still, dots, upper, lower, caseless = _still(kind, mark, gap, nxt)
+            odds, ends = corpus.abbreviations.get(word, _UNKNOWN) if mark == "." else _UNKNOWN
             opening, ending = corpus.openings.get(_opening(part[m.end() : m.end() + 12]), 0.0), corpus.endings.get(_ending(part[max(0, end - 12) : end]), 0.0)
-            dots = mark in ("...", "…", "……", "⋯⋯", "⋯", "‥") or (len(mark) > 1 and set(mark) <= set(".…⋯‥"))
-            features = [
-                (mark == "."), (mark[:1] in "!?！？" and mark != ""), (mark[:1] in "。．" and mark != ""), (dots),
-                (kind == "mark" and not gap), (kind == "mark" and bool(gap) and "\n" not in gap), ("\n" in gap),
-                (kind == "space" and "　" not in m[0]), (kind == "space" and "　" in m[0]), (not nxt),
-                (upper), (lower), (digit_next), (nxt in "「『“„«\"《‘(（" and nxt != ""), (caseless),
-                (bool(nxt) and not nxt.isalnum() and nxt not in "「『“„«\"《‘(（—–-"), (word.isdigit()), (mark == "." and len(word) == 1 and word.isalpha()),
-                (max(-3.0, min(4.0, odds)) / 2 if mark == "." else 0.0), (max(-3.0, min(1.0, ends)) if mark == "." else 0.0), (mark == "." and 0 < len(word) <= 3 and word.isalpha()),
-                (closes), colon, number, fits, loose if line_no >= 0 else 0.0, (line_no >= 0 and "\t" in lines[line_no]),
-                opening / 4, ending / 4,
-                marked, (kind == "line"), (kind == "mark" and "\n" in gap), (nxt in "—–-" and nxt != ""),
-                (closes and not colon and caseless and not gap), (kind == "line" and not fits and loose < 0.3),
+            runs_on = closes and not colon and caseless and not gap
+            if mark == ".":
+                letters = word.isalpha()
+                before = [digits, letters and len(word) == 1, max(-3.0, min(4.0, odds)) / 2, max(-3.0, min(1.0, ends)), letters and len(word) <= 3]
+            else:
+                before = [digits, 0.0, 0.0, 0.0, 0.0]
+            moving = [
+                *before, closes, colon, number, fits, loose if line_no >= 0 else 0.0, line_no >= 0 and "\t" in lines[line_no],
+                opening / 4, ending / 4, marked, runs_on, kind == "line" and not fits and loose < 0.3,
             ]
             label = -1
             if not labelled:
@@ -224,11 +242,11 @@ def candidates(text: str, corpus: Corpus, labelled: bool = True) -> Iterator[tup
                     label = 0
                 elif dots and caseless and not gap:
                     label = 0
-                elif closes and not colon and caseless and not gap:
+                elif runs_on:
                     label = 0  # the sentence of the quotation runs on
                 elif not closes and mark[:1] in "。！？!?" and (caseless or (upper and gap)):
                     label = 1
-                elif upper and mark == "." and word.isdigit() and gap:  # an ordinal, or a number at the end
+                elif upper and mark == "." and digits and gap:  # an ordinal, or a number at the end
                     label = int(opening > 0)
                 elif upper and mark == "." and gap and "\n" not in gap and odds > 2 and ends < -1:
                     label = 0
@@ -241,7 +259,7 @@ def candidates(text: str, corpus: Corpus, labelled: bool = True) -> Iterator[tup
                     label = 0
             elif opening and ending:
                 label = 1
-            yield begin + end, features, label
+            yield begin + end, still, moving, label
         begin = after
 
 
@@ -251,8 +269,14 @@ def units(text: str, corpus: Corpus, weights: np.ndarray) -> list[tuple[int, int
     if not text or text.isspace():
         return []
     *margin, bias = (weights[:, 1] - weights[:, 0]).tolist()  # two classes: the sign of the difference decides
+    first, rest = margin[:_STILL], margin[_STILL:]
+    scores: dict[tuple[float, ...], float] = {}
     ends = [m.start() for m in _BLANK.finditer(text)] + [len(text)]
-    ends += [end for end, features, _ in candidates(text, corpus, labelled=False) if sum(map(mul, features, margin)) + bias >= 0]
+    for end, still, moving, _ in candidates(text, corpus, labelled=False):
+        if (score := scores.get(still)) is None:
+            score = scores[still] = sum(map(mul, still, first)) + bias
+        if score + sum(map(mul, moving, rest)) >= 0:
+            ends.append(end)
     out, start = [], 0
     for end in sorted(set(ends)):
         piece = text[start:end]
@@ -272,7 +296,7 @@ def train(texts: DataFrame, corpus: Corpus) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                rows = [(doc, end, label, list(map(float, f))) for end, f, label in candidates(text.as_py(), corpus) if label >= 0]
+                rows = [(doc, end, label, list(map(float, (*still, *moving)))) for end, still, moving, label in candidates(text.as_py(), corpus) if label >= 0]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
