@@ -16,6 +16,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from operator import add, mul
 from typing import NamedTuple
 
@@ -561,20 +562,26 @@ def judge(items: DataFrame, lexicon: DataFrame) -> DataFrame:
     habits = ranked.groupBy("kind", "difference").agg(F.sum("read").alias("habit"), F.sum(1 - F.col("read")).alias("clean"))
     shares = ranked.where("rank = 1").agg(F.sum("read").alias("all_read"), F.sum(1 - F.col("read")).alias("all_clean"))
     log = F.log1p
+    # a pair is no evidence about itself, else every read pair would show a habit that it makes up itself
+    habit, clean = (F.col("habit") - F.col("read")) / (F.col("all_read") + 1), (F.col("clean") - (1 - F.col("read"))) / (F.col("all_clean") + 1)
     rows = ranked.join(habits, ["kind", "difference"]).crossJoin(F.broadcast(shares)).select(
         "kind", "item", "other", "at", "read",
         F.array(
-            F.col("stretch").cast("double"), F.char_length("item").cast("double"), log("frequency"), log("n"), F.log(F.col("habit") / (F.col("all_read") + 1) + 1e-5),
-            F.log((F.col("habit") / (F.col("all_read") + 1) + 1e-5) / (F.col("clean") / (F.col("all_clean") + 1) + 1e-4)),
+            F.col("stretch").cast("double"), F.char_length("item").cast("double"), log("frequency"), F.log(habit + 1e-5), F.log((habit + 1e-5) / (clean + 1e-4)),
             F.col("item").rlike(r"[0-9\p{P}\p{S}]").cast("double"), (F.col("at") == 0).cast("double"), (F.col("kind") == "s").cast("double"),
-            log("candidates"), (F.char_length("item") - F.char_length("other")).cast("double"), log(F.col("frequency") / F.col("n")), log("rank"),
+            log("candidates"), (F.char_length("item") - F.char_length("other")).cast("double"), log("rank"),
         ).alias("features"),
     )
     rows = cut(rows)
-    sides = [rows.where(F.col("read") == read).orderBy(F.xxhash64("item", "kind", "other"), "item", "other").limit(SAMPLE_PAIRS // 2) for read in (0, 1)]
-    sample = sides[0].unionByName(sides[1]).select("features", "read").toPandas()
-    weight = (len(sample) / 2 / sample.groupby("read")["read"].transform("size")).to_numpy(float)
-    trees = Booster().fit(np.array(sample.features.tolist()).reshape(len(sample), 13), sample.read.to_numpy(float), weight)
+    # both sides of a kind weigh the same; a side of few items weighs at most ten times as much as it has,
+    # so that no leaf rests on a single one. Lost characters need no judgement and teach nothing.
+    told = rows.where(~F.contains("item", F.lit("□")))
+    kinds = sorted(r.kind for r in told.select("kind").distinct().collect()) or ["w"]  # words, sequences or both
+    sides = [told.where((F.col("kind") == kind) & (F.col("read") == read)).orderBy(F.xxhash64("item", "kind", "other"), "item", "other").limit(SAMPLE_PAIRS // 2 // len(kinds)) for kind in kinds for read in (0, 1)]
+    sample = reduce(DataFrame.unionByName, sides).select("kind", "features", "read").toPandas()
+    size = sample.groupby(["kind", "read"])["read"].transform("size")
+    weight = (sample.groupby("kind")["read"].transform("size") / 2 / size).clip(upper=10.0).to_numpy(float)
+    trees = Booster().fit(np.array(sample.features.tolist()).reshape(len(sample), 11), sample.read.to_numpy(float), weight)
 
     schema = pa.schema([("kind", pa.string()), ("item", pa.string()), ("correction", pa.string()), ("at", pa.int32()), ("p", pa.float64())])
 
